@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, lines, quality
+from . import bpe, chat, counts, lines, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op3_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse(_table(spark, sf_dir, "conversations"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.recount(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"))
 
@@ -25,6 +33,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "__dropped").withColumnRenamed("__dropped", "n_dropped")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_chat_collapse, op7_quality_rules, op8_line_dedup)}
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc_index, op3_chat_collapse, op5_token_counts, op7_quality_rules, op8_line_dedup, op9_byte_bpe)}
 
-ORACLES: dict[str, str] = {"op3_chat_collapse": chat.ORACLE, "op7_quality_rules": quality.ORACLE, "op8_line_dedup": lines.ORACLE}
+ORACLES: dict[str, str] = {"op2_warc_index": warc.ORACLE, "op3_chat_collapse": chat.ORACLE, "op7_quality_rules": quality.ORACLE, "op8_line_dedup": lines.ORACLE}
