@@ -70,12 +70,13 @@ def gram_sets(texts: list[str], n: int = N) -> tuple[np.ndarray, np.ndarray]:
             np.uint64,
         )
         doc, value = np.concatenate((doc, few)), np.concatenate((value, own))
+    value = value.view(np.int64)
     order = np.lexsort((value, doc))
     doc, value = doc[order], value[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
     doc, value = doc[new], value[new]
-    return value.view(np.int64), np.searchsorted(doc, np.arange(len(texts) + 1))
+    return value, np.searchsorted(doc, np.arange(len(texts) + 1))
 
 
 def signatures(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
