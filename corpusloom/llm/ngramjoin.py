@@ -263,12 +263,12 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, n: int = N) -> Join
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     givers = shared.save(docs.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "givers")
     marks = np.zeros(BITMAP_BITS // 8, np.uint8)
-    for row in givers.select((F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))).alias("bit")).mapInArrow(_bits, "bits binary").toLocalIterator():
+    for row in givers.select((F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))).alias("bit")).mapInArrow(shared.packed, "bits binary").toLocalIterator():
         np.bitwise_or.at(marks, (bits := np.frombuffer(row.bits, np.int64)) >> 3, np.left_shift(1, bits & 7).astype(np.uint8))
-    bitmap = spark.sparkContext.broadcast(_packed(marks))
+    bitmap = spark.sparkContext.broadcast(shared.squeeze(marks))
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = _unpacked(bitmap.value)
+        mark = shared.unsqueeze(bitmap.value)
         for b in batches:
             bit = b.column(2).to_numpy()
             b = b.filter(pa.array((mark[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
@@ -302,24 +302,6 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().astype(np.int32).tobytes()]), pa.array([b.column(1).to_numpy().astype(np.int64).tobytes()])], names=["cells", "counts"])
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().astype(np.int64).tobytes()])], names=["bits"])
-
-
-def _packed(marks: np.ndarray) -> bytes:
-    import zlib
-
-    return zlib.compress(marks.tobytes(), 1)
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    import zlib
-
-    return np.frombuffer(zlib.decompress(data), np.uint8)
-
-
 def similar(documents: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
     """docs_a, docs_b, jaccard: each document of docs_a is similar to each other one of docs_b. Equal sets are a row whose lists are the same."""
     found = join(documents, threshold, n)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,3 +29,18 @@ def save(df: DataFrame, what: str) -> DataFrame:
     path = folder(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def packed(batches):
+    """mapInArrow: the batch's one integer column as a binary value."""
+    for b in batches:
+        if b.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().astype(np.int64).tobytes()])], names=["bits"])
+
+
+def squeeze(marks: np.ndarray) -> bytes:
+    return zlib.compress(marks.tobytes(), 1)
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8)
