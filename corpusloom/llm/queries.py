@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, counts, decon, lines, ngramjoin, quality, substring, warc
+from . import bpe, chat, counts, decon, lines, maxent, ngramjoin, quality, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op3_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse(_table(spark, sf_dir, "conversations"))
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return maxent.score(docs, maxent.fit(docs))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.recount(_table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_warc_index, op3_chat_collapse, op5_token_counts, op6_ngram_jaccard_join, op7_quality_rules, op8_line_dedup, op9_byte_bpe, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_warc_index, op3_chat_collapse, op4_lm_scores, op5_token_counts, op6_ngram_jaccard_join, op7_quality_rules, op8_line_dedup, op9_byte_bpe, op10_substring_dedup)}
 
 ORACLES: dict[str, str] = {"op2_warc_index": warc.ORACLE, "op3_chat_collapse": chat.ORACLE, "op7_quality_rules": quality.ORACLE, "op8_line_dedup": lines.ORACLE}
