@@ -11,9 +11,12 @@ frequencies of its prefix lead one to expect, and a pair is verified only if it
 shares min(k1, k2) n-grams of both prefixes of that length (AdaptJoin; Wang, Li
 and Feng 2012).
 
-1. Frequencies: every partition counts its n-grams in a table of BUCKETS cells,
-   and the tables are summed.  The cells order n-grams and estimate candidates;
-   collisions affect cost and never the result.
+1. Frequencies: every partition counts its words and, by documents, its n-grams in
+   two tables of fixed size; the tables are summed.  An n-gram's expected
+   frequency is that of its words together, if they were independent, or what its
+   cell holds beyond chance, if that is more (as for the n-grams of boilerplate,
+   whose share of the corpus doesn't shrink as it grows).  It orders n-grams and
+   estimates candidates; collisions affect cost and never the result.
 2. Postings (n-gram, set, position level) are shuffled by n-gram; partitions sort
    them in numpy and emit the pairs of each n-gram, summed per partition.
 3. Pairs with enough matches are verified exactly. Their sets are computed again
@@ -37,7 +40,9 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +53,9 @@ from . import shared, textops
 
 N = 2
 THRESHOLD = 0.7
-BUCKETS = 1 << 21
+#: Cells of the frequency tables.
+WORD_CELLS = 1 << 20
+GRAM_CELLS = 1 << 22
 #: Longest extension of a prefix, and what a posting costs against a candidate pair.
 MOST = 4
 POSTING_COST = 1.0
@@ -56,27 +63,48 @@ BLOCK = 4096
 BITMAP_BITS = 1 << 27
 
 
-def gram_sets(texts: list[str], n: int = N) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct n-gram hashes (int64) of all texts in order, and where each text's begin."""
+class Frequencies(NamedTuple):
+    """Summed tables: occurrences of words, documents of n-grams, all words, and what a cell of n-grams holds by chance."""
+
+    words: np.ndarray
+    grams: np.ndarray
+    total: float
+    chance: float
+
+
+def cell(hashes: np.ndarray, cells: int) -> np.ndarray:
+    """The frequency table's cell of each hash."""
+    return (hashes >> np.uint64(64 - int(math.log2(cells)))).astype(np.int64)
+
+
+def gram_sets(texts: list[str], n: int = N, frequency: Frequencies | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct n-gram hashes (int64) of all texts in order, where each text's begin, and their expected frequencies (0 without a table)."""
     w = textops.words(texts)
     per = np.diff(w.first)
     grams = textops.ngram_hashes(w.hash, n)
     whole = np.flatnonzero(w.doc[: len(grams)] == w.doc[n - 1 :]) if len(grams) else np.empty(0, np.int64)
     doc, value = w.doc[whole], grams[whole]
+    expected = np.zeros(len(whole), np.float32)
+    if frequency is not None and len(whole):
+        share = frequency.words[cell(w.hash, WORD_CELLS)]
+        expected = share[whole]
+        for k in range(1, n):
+            expected = expected * (share[whole + k] / np.float32(max(1.0, frequency.total)))
+        expected = np.maximum(expected, frequency.grams[cell(value, GRAM_CELLS)] - np.float32(frequency.chance))
     few = np.flatnonzero(per < n)
     if len(few):
         own = np.array(
             [np.uint64(textops.hash_bytes(texts[d]) & (2**64 - 1)) if per[d] == 0 else textops.mix(w.hash[w.first[d] : w.first[d + 1]] + np.arange(1, per[d] + 1, dtype=np.uint64)).sum(dtype=np.uint64) for d in few.tolist()],
             np.uint64,
         )
-        doc, value = np.concatenate((doc, few)), np.concatenate((value, own))
+        doc, value, expected = np.concatenate((doc, few)), np.concatenate((value, own)), np.concatenate((expected, np.zeros(len(few), np.float32)))
     value = value.view(np.int64)
     order = np.lexsort((value, doc))
-    doc, value = doc[order], value[order]
+    doc, value, expected = doc[order], value[order], expected[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
-    doc, value = doc[new], value[new]
-    return value, np.searchsorted(doc, np.arange(len(texts) + 1))
+    doc, value, expected = doc[new], value[new], expected[new]
+    return value, np.searchsorted(doc, np.arange(len(texts) + 1)), expected
 
 
 def signatures(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -87,28 +115,22 @@ def signatures(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
         return textops.mix((total[first[1:]] - total[first[:-1]]) + size * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def bucket(grams: np.ndarray) -> np.ndarray:
-    return (textops.mix(grams.view(np.uint64)) >> np.uint64(64 - int(math.log2(BUCKETS)))).astype(np.int64)
-
-
 def required(size: np.ndarray, threshold: float) -> np.ndarray:
     """Least number of n-grams that a set shares with any similar one."""
     return np.maximum(1, np.ceil(size * threshold - 1e-9).astype(np.int64))
 
 
-def prefixes(grams: np.ndarray, first: np.ndarray, frequency: np.ndarray, noise: float, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def prefixes(grams: np.ndarray, first: np.ndarray, expected: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The postings of each set: set number, n-gram, level (the shortest prefix it belongs to, from 1), and the sets' own k."""
     size = np.diff(first)
     n_sets = len(size)
     doc = np.repeat(np.arange(n_sets), size)
-    f = frequency[bucket(grams)]
-    order = np.lexsort((grams, f, doc))
-    g, f = grams[order], f[order]
+    order = np.lexsort((grams, expected, doc))
+    g, f = grams[order], expected[order]
     rank = np.arange(len(g)) - first[doc] + 1
     need = required(size, threshold)
     level = np.maximum(1, rank - (size - need)[doc])
-    other = np.maximum(0.0, f - noise - 1.0)
-    hits = np.stack([np.bincount(doc[level <= k], other[level <= k], n_sets) for k in range(1, MOST + 1)])
+    hits = np.stack([np.bincount(doc[level <= k], f[level <= k], n_sets) for k in range(1, MOST + 1)])
     length = (size - need) + np.arange(1, MOST + 1)[:, None]
     # a random candidate has few matches: the k-th match divides the expected candidates by about k
     cost = POSTING_COST * length + hits / np.arange(1, MOST + 1)[:, None] ** 2
@@ -118,28 +140,37 @@ def prefixes(grams: np.ndarray, first: np.ndarray, frequency: np.ndarray, noise:
     return doc[keep], g[keep], level[keep], own
 
 
-_DOC = "kind byte, doc_id long, sig long, n int, bucket int, count long"
+_SCAN = "doc_id long, sig long, n int, part int, counts binary"
+_PART = 1 << 16
 
 
 def _scan(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Signatures of the documents, then the partition's frequency table."""
-    table = np.zeros(BUCKETS, np.int32)
-
-    def batch(kind: int, doc, sig, size, cell, count) -> pa.RecordBatch:
-        m = len(sig if kind == 0 else cell)
-        cols = [pa.array(np.full(m, kind, np.int8)), *(pa.nulls(m, t) if x is None else pa.array(x, t) for x, t in ((doc, pa.int64()), (sig, pa.int64()), (size, pa.int32()), (cell, pa.int32()), (count, pa.int64())))]
-        return pa.RecordBatch.from_arrays(cols, names=["kind", "doc_id", "sig", "n", "bucket", "count"])
-
+    """Signatures of the documents, then the partition's frequency table in compressed parts."""
+    table = np.zeros(WORD_CELLS + GRAM_CELLS, np.int32)
+    names = [x.split()[0] for x in _SCAN.split(", ")]
     for b in batches:
         texts = b.column(1).to_pylist()
         for i, j in textops.chunks(texts):
-            grams, first = gram_sets(texts[i:j], n)
-            table += np.bincount(bucket(grams), minlength=BUCKETS).astype(np.int32)
-            yield batch(0, b.column(0).slice(i, j - i).to_numpy(), signatures(grams, first), np.diff(first), None, None)
-    cells = np.flatnonzero(table)
-    for k in range(0, len(cells), 1 << 17):
-        part = cells[k : k + (1 << 17)]
-        yield batch(1, None, None, None, part, table[part])
+            grams, first, _ = gram_sets(texts[i:j], n)
+            for base, cells, hashes in ((0, WORD_CELLS, textops.words(texts[i:j]).hash), (WORD_CELLS, GRAM_CELLS, grams.view(np.uint64))):
+                at, count = np.unique(cell(hashes, cells), return_counts=True)
+                table[base + at] += count.astype(np.int32)
+            m = j - i
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, m), pa.array(signatures(grams, first)), pa.array(np.diff(first).astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+    for k in range(0, len(table), _PART):
+        if table[k : k + _PART].any():
+            raw = zlib.compress(table[k : k + _PART].tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([k // _PART], pa.int32()), pa.array([raw])], names=names)
+
+
+def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            part = np.frombuffer(zlib.decompress(raw), np.int32).astype(np.int64)
+            sums[k] = sums[k] + part if k in sums else part
+    for k, part in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.astype(np.float32).tobytes(), 1)])], names=["part", "counts"])
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -236,21 +267,21 @@ class Joined:
 def join(documents: DataFrame, threshold: float = THRESHOLD, n: int = N) -> Joined:
     spark = documents.sparkSession
     texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
-    scanned = shared.save(texts.mapInArrow(lambda it: _scan(it, n), _DOC), "signatures")
-    docs = scanned.where("kind = 0").select("doc_id", "sig", "n").distinct()
-    table = np.zeros(BUCKETS, np.float32)
-    summed = scanned.where("kind = 1").groupBy("bucket").agg(F.sum("count").alias("count")).mapInArrow(_pack, "cells binary, counts binary")
-    for row in summed.toLocalIterator():
-        table[np.frombuffer(row.cells, np.int32)] = np.frombuffer(row.counts, np.int64)
-    noise = float(np.median(table))
-    frequency = spark.sparkContext.broadcast(table)  # of fixed size
+    scanned = shared.save(texts.mapInArrow(lambda it: _scan(it, n), _SCAN), "signatures")
+    docs = scanned.where("part is null").select("doc_id", "sig", "n").distinct()
+    table = np.zeros(WORD_CELLS + GRAM_CELLS, np.float32)
+    for row in scanned.where("part is not null").select("part", "counts").repartition("part").mapInArrow(_sum_parts, "part int, counts binary").toLocalIterator():
+        table[row.part * _PART : (row.part + 1) * _PART] = np.frombuffer(zlib.decompress(row.counts), np.float32)
+    words, cells = table[:WORD_CELLS], table[WORD_CELLS:]
+    middle = float(np.median(cells))
+    frequency = spark.sparkContext.broadcast(Frequencies(words, cells, float(words.sum()), middle + 4 * math.sqrt(middle + 1)))  # of fixed size
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = b.column(1).to_pylist()
             for i, j in textops.chunks(text):
-                grams, first = gram_sets(text[i:j], n)
-                doc, g, level, own = prefixes(grams, first, frequency.value, noise, threshold)
+                grams, first, expected = gram_sets(text[i:j], n, frequency.value)
+                doc, g, level, own = prefixes(grams, first, expected, threshold)
                 meta = (np.diff(first)[doc] << 16) | (level << 8) | own[doc]
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(signatures(grams, first)[doc]), pa.array(meta)], names=["gram", "sig", "meta"])
 
@@ -274,12 +305,11 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, n: int = N) -> Join
             b = b.filter(pa.array((mark[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
             text = b.column(1).to_pylist()
             for i, j in textops.chunks(text):
-                grams, first = gram_sets(text[i:j], n)
+                grams, first, _ = gram_sets(text[i:j], n)
                 raw = [grams[x:y].tobytes() for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(signatures(grams, first)), pa.array(raw, pa.binary())], names=["doc_id", "sig", "grams"])
 
     given = texts.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))).mapInArrow(give, "doc_id long, sig long, grams binary")
-    sets = given.join(givers, ["doc_id", "sig"], "left_semi").dropDuplicates(["sig"]).select("sig", "grams")
 
     # pairs meet at the least candidate neighbour of their first set; large meetings are cut into blocks by hash
     near = candidates.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(candidates.select(F.col("b").alias("x"), F.col("a").alias("y")))
@@ -288,20 +318,14 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, n: int = N) -> Join
     sizes = at_hub.select("hub", F.explode(F.array("a", "b")).alias("sig")).distinct().groupBy("hub").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("cuts"))
     placed = at_hub.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("a"), "cuts").alias("i"), F.pmod(F.xxhash64("b"), "cuts").alias("j"), "a", "b")
     placed = shared.save(placed, "placed")
-    uses = placed.select("hub", "i", "j", F.explode(F.array("a", "b")).alias("sig")).distinct()
-    sent = uses.join(sets, "sig").select("hub", "i", "j", F.col("sig").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
+    uses = placed.select("hub", "i", "j", F.explode(F.array("a", "b")).alias("sig")).distinct().join(givers, "sig")
+    sent = given.join(uses, ["doc_id", "sig"]).select("hub", "i", "j", F.col("sig").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
     both = sent.unionByName(placed.withColumn("grams", F.lit(None).cast("binary")))
     ordered = both.repartition(parts, "hub", "i", "j").sortWithinPartitions("hub", "i", "j", F.col("b").asc_nulls_first())
     pairs = ordered.select("hub", "i", "j", "a", "b", "grams").mapInArrow(lambda it: _verify(it, threshold), "a long, b long, jaccard double")
     return Joined(docs, pairs)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().astype(np.int32).tobytes()]), pa.array([b.column(1).to_numpy().astype(np.int64).tobytes()])], names=["cells", "counts"])
-
-
 def similar(documents: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
     """docs_a, docs_b, jaccard: each document of docs_a is similar to each other one of docs_b. Equal sets are a row whose lists are the same."""
     found = join(documents, threshold, n)
