@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import textops
+from . import shared, textops
 
 MAX_EDITS = 0.2
 MIN_WORDS = 6
@@ -231,6 +231,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS) -
                     good[[x[0] for x in index.value.matches(texts[i:j])]] = False
                     yield b.slice(i, j - i).filter(pa.array(good))
 
-        return rows.mapInArrow(run, docs.schema)
+        return shared.filtered(rows, run)
 
     return reduce(one, _slices(benchmark), docs)

@@ -44,16 +44,17 @@ def frequent(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The documents without their frequent lines, and `__dropped`, how many went."""
-    lines = _lines(F.col("text"))
+    body = F.col("__row.text")
+    lines = _lines(body)
     stays = F.filter(lines, lambda x: ~F.array_contains(F.col("__drop"), F.xxhash64(normalised(x))) | (normalised(x) == ""))
     done = (
-        docs.withColumn("__text", F.xxhash64("text"))
+        docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.xxhash64("text").alias("__text"))
         .join(frequent(docs, threshold), "__text", "left")
         .withColumn("__stays", F.when(F.col("__drop").isNotNull(), stays))
-        .withColumn("__new", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join("__stays", "\n")))
+        .withColumn("__new", F.when(F.col("__drop").isNull(), body).otherwise(F.array_join("__stays", "\n")))
         .withColumn("__dropped", F.when(F.col("__drop").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("__stays")).cast("long"))
     )
-    out = [F.col("__new").alias(c) if c == "text" else F.length("__new").cast(t).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, t in docs.dtypes]
+    out = [F.col("__new").alias(c) if c == "text" else F.length("__new").cast(t).alias(c) if c == "n_chars" else F.col(f"__row.`{c}`").alias(c) for c, t in docs.dtypes]
     return done.select(*out, "__dropped")
 
 

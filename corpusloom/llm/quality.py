@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import textops
+from . import shared, textops
 
 TOP = {2: 0.20, 3: 0.18, 4: 0.16}
 DUP = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -131,7 +131,7 @@ def keep(docs: DataFrame) -> DataFrame:
                 good = ~(measure(texts[i:j]) > LIMITS).any(1)
                 yield b.slice(i, j - i).filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return shared.filtered(docs, run)
 
 
 def _oracle() -> str:

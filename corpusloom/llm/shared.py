@@ -31,6 +31,12 @@ def save(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def filtered(docs: DataFrame, run) -> DataFrame:
+    """mapInArrow that keeps rows with all their columns, whatever the columns' names (a name may hold dots)."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def packed(batches):
     """mapInArrow: the batch's one integer column as a binary value."""
     for b in batches:
