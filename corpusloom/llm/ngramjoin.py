@@ -19,11 +19,11 @@ and Feng 2012).
    estimates candidates; collisions affect cost and never the result.
 2. Postings (n-gram, set, position level) are shuffled by n-gram; partitions sort
    them in numpy and emit the pairs of each n-gram, summed per partition.
-3. Pairs with enough matches are verified exactly. Their sets are computed again
-   from the texts (a bitmap of the candidates' ids, of bounded size, keeps nearly
-   all other documents out of that shuffle) and meet in blocks of at most BLOCK
-   sets keyed by a common neighbour, so a set is sent once a block and not once a
-   pair.
+3. Pairs with enough matches are verified exactly. Their compressed texts (a bitmap
+   of the candidates' ids, of bounded size, keeps nearly all other documents out of
+   that shuffle) meet in blocks of at most BLOCK sets keyed by a common neighbour,
+   so a text is sent once a block and not once a pair; the sets are computed again
+   where they meet, since n-gram hashes are several times as large as the text.
 
 Documents with equal sets are one set from the start (the set's 64-bit signature
 and size stand for it), so thousands of copies cost no more pairs than one; the
@@ -230,31 +230,56 @@ def _pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
     yield from flush()
 
 
-def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows of one block after the other: first its sets, then its pairs."""
-    sets: dict[int, np.ndarray] = {}
-    block = None
-    for b in batches:
-        keys = list(zip(*(b.column(k).to_pylist() for k in range(3))))
-        a, c = b.column(3).to_pylist(), b.column(4).to_pylist()
-        raw = b.column(5)
+def _deflate(text: str) -> bytes:
+    raw = text.encode("utf-8", "surrogatepass")
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _inflate(data: bytes) -> str:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True).decode("utf-8", "surrogatepass")
+
+
+def _verify(batches: Iterator[pa.RecordBatch], threshold: float, n: int) -> Iterator[pa.RecordBatch]:
+    """Rows of one block after the other: first its sets (as texts), then its pairs. Small blocks are worked on together."""
+    bodies: dict[int, bytes] = {}
+    pairs: list[tuple[int, int]] = []
+    size, block = 0, None
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        sigs, sets = list(bodies), {}
+        texts = [_inflate(bodies[x]) for x in sigs]
+        for i, j in textops.chunks(texts):
+            grams, first, _ = gram_sets(texts[i:j], n)
+            sets.update(zip(sigs[i:j], (grams[x:y] for x, y in zip(first[:-1].tolist(), first[1:].tolist()))))
         out = []
-        for i, key in enumerate(keys):
-            if key != block:
-                sets, block = {}, key
-            if c[i] is None:
-                sets[a[i]] = np.frombuffer(raw[i].as_buffer(), np.int64)
-                continue
-            x, y = sets[a[i]], sets[c[i]]
+        for a, b in pairs:
+            x, y = sets[a], sets[b]
             if len(x) > len(y):
                 x, y = y, x
             at = np.searchsorted(y, x)
             common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
             j = common / (len(x) + len(y) - common)
             if j >= threshold - 1e-12:
-                out.append((a[i], c[i], j))
+                out.append((a, b, j))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(v)) for v in zip(*out)], names=["a", "b", "jaccard"])
+        bodies.clear()
+        pairs.clear()
+
+    for batch in batches:
+        keys = zip(*(batch.column(k).to_pylist() for k in range(3)))
+        for key, a, b, body in zip(keys, *(batch.column(k).to_pylist() for k in (3, 4, 5))):
+            if key != block:
+                if size > textops.CHUNK_CHARS:
+                    yield from flush()
+                    size = 0
+                block = key
+            if b is None:
+                bodies[a] = body
+                size += int.from_bytes(body[:8], "little")
+            else:
+                pairs.append((a, b))
+    yield from flush()
 
 
 class Joined:
@@ -306,10 +331,9 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, n: int = N) -> Join
             text = b.column(1).to_pylist()
             for i, j in textops.chunks(text):
                 grams, first, _ = gram_sets(text[i:j], n)
-                raw = [grams[x:y].tobytes() for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(signatures(grams, first)), pa.array(raw, pa.binary())], names=["doc_id", "sig", "grams"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(signatures(grams, first)), pa.array(map(_deflate, text[i:j]), pa.binary())], names=["doc_id", "sig", "body"])
 
-    given = texts.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))).mapInArrow(give, "doc_id long, sig long, grams binary")
+    given = texts.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))).mapInArrow(give, "doc_id long, sig long, body binary")
 
     # pairs meet at the least candidate neighbour of their first set; large meetings are cut into blocks by hash
     near = candidates.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(candidates.select(F.col("b").alias("x"), F.col("a").alias("y")))
@@ -319,10 +343,10 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, n: int = N) -> Join
     placed = at_hub.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("a"), "cuts").alias("i"), F.pmod(F.xxhash64("b"), "cuts").alias("j"), "a", "b")
     placed = shared.save(placed, "placed")
     uses = placed.select("hub", "i", "j", F.explode(F.array("a", "b")).alias("sig")).distinct().join(givers, "sig")
-    sent = given.join(uses, ["doc_id", "sig"]).select("hub", "i", "j", F.col("sig").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
-    both = sent.unionByName(placed.withColumn("grams", F.lit(None).cast("binary")))
+    sent = given.join(uses, ["doc_id", "sig"]).select("hub", "i", "j", F.col("sig").alias("a"), F.lit(None).cast("long").alias("b"), "body")
+    both = sent.unionByName(placed.withColumn("body", F.lit(None).cast("binary")))
     ordered = both.repartition(parts, "hub", "i", "j").sortWithinPartitions("hub", "i", "j", F.col("b").asc_nulls_first())
-    pairs = ordered.select("hub", "i", "j", "a", "b", "grams").mapInArrow(lambda it: _verify(it, threshold), "a long, b long, jaccard double")
+    pairs = ordered.select("hub", "i", "j", "a", "b", "body").mapInArrow(lambda it: _verify(it, threshold, n), "a long, b long, jaccard double")
     return Joined(docs, pairs)
 
 
