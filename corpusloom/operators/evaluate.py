@@ -41,7 +41,11 @@ def _grams(tokens: Column, n: int, glue: str) -> Column:
 
 def _matches(rows: DataFrame, tokens: str, orders: int, glue: str) -> DataFrame:
     """Summed over rows for every n: matched (clipped), n-grams of the predictions, n-grams of the references."""
-    side = lambda c: F.flatten(F.array(*(F.transform(_grams(F.col(f"{c}_{tokens}"), n, glue), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("g"))) for n in range(1, orders + 1))))
+
+    def tagged(n: int):
+        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"))
+
+    side = lambda c: F.flatten(F.array(*(F.transform(_grams(F.col(f"{c}_{tokens}"), n, glue), tagged(n)) for n in range(1, orders + 1))))
     counted = [rows.select("id", F.explode(side(c)).alias("x")).select("id", "x.n", "x.g", *(F.lit(int(c == k)).alias(f"is_{k}") for k in ("pred", "ref"))) for c in ("pred", "ref")]
     per = counted[0].unionByName(counted[1]).groupBy("id", "n", "g").agg(F.sum("is_pred").alias("p"), F.sum("is_ref").alias("r"))
     return per.groupBy("n").agg(F.sum(F.least("p", "r")).alias("match"), F.sum("p").alias("pred"), F.sum("r").alias("ref"))

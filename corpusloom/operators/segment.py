@@ -46,7 +46,7 @@ def paragraphs(df: DataFrame, group: list[str], order: str, columns: list[str],
     within = placed.join(counts.where(F.col("span.hi") - F.col("span.lo") >= low), group).where("__at > span.lo and __at <= span.hi")
     rows = F.array_sort(F.collect_list(F.struct("__at", *columns)))
     done = within.groupBy(*group, "window").agg(rows.alias("__rows"), F.count("*").alias("n"))
-    out = done.select(*group, "window", "n", *(F.array_join(F.transform("__rows", lambda r, c=c: r[c]), " ").alias(c) for c in columns))
+    out = done.select(*group, "window", "n", *(F.array_join(F.col(f"__rows.{c}"), " ").alias(c) for c in columns))
     for c in columns:
         out = out.where(F.length(c).between(*chars))
     return out

@@ -95,6 +95,6 @@ def joined_text(df: DataFrame, group: str, order: str, columns: list[str], least
     """Columns of each group joined by spaces in order, the rows and words; groups of fewer than `least` rows are left out."""
     rows = F.array_sort(F.collect_list(F.struct(order, *columns)))
     out = df.groupBy(group).agg(rows.alias("__rows"), F.count("*").alias("n")).where(F.col("n") >= least)
-    texts = [F.array_join(F.transform("__rows", lambda r, c=c: r[c]), " ").alias(c) for c in columns]
+    texts = [F.array_join(F.col(f"__rows.{c}"), " ").alias(c) for c in columns]
     done = out.select(group, *texts, "n")
     return done.withColumn("word_count", T.word_count(F.col(columns[0])))

@@ -1,4 +1,6 @@
 """Queries of the curation operators and the SQL they are compared with."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import corpus, pairs, tasks
+
+QUERIES: dict = pairs.QUERIES | corpus.QUERIES | tasks.QUERIES
+ORACLES: dict = pairs.ORACLES | corpus.ORACLES | tasks.ORACLES
