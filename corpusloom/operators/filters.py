@@ -91,12 +91,12 @@ def one_correct(answers: Column, correct: Column) -> Column:
 
 def numbered_question(number: Column, answers: Column, *texts: Column) -> Column:
     """A known number from 1 to the count of answers, none of which is blank."""
-    return number.try_cast("int").between(1, F.size(answers)) & F.forall(answers, filled) & filled(*texts)
+    return number.try_cast("int").between(1, F.size(answers)) & F.forall(answers, lambda a: filled(a)) & filled(*texts)
 
 
 def keyed_question(key: Column, choices: Column) -> Column:
     """A key, 2 to 5 choices without blanks, the key among them."""
-    return key.isNotNull() & F.size(choices).between(2, 5) & F.forall(F.map_values(choices), filled) & F.array_contains(F.map_keys(choices), key)
+    return key.isNotNull() & F.size(choices).between(2, 5) & F.forall(F.map_values(choices), lambda c: filled(c)) & F.array_contains(F.map_keys(choices), key)
 
 
 def subjects(subject: Column, included: list[str] | None) -> Column:

@@ -25,7 +25,7 @@ def jsonl(df: DataFrame, path: str, keys: list[str] | None = None, mode: str = "
 
 def json_array(df: DataFrame, path: str, limit: int = 1_000_000) -> None:
     """One indented JSON array, for small tables that people read; a larger table is an error."""
-    rows = df.limit(limit + 1).toJSON().collect()
+    rows = [r[0] for r in df.limit(limit + 1).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
     if len(rows) > limit:
         raise ValueError(f"more than {limit} rows: write lines of JSON")
     import json
