@@ -47,7 +47,7 @@ def without_boxes(s: str) -> str:
 
 def _fraction(m: re.Match) -> str:
     f = Fraction("0" + m[0].replace(",", ".")).limit_denominator(10_000)
-    return str(f.numerator) if f.denominator == 1 else f"\\frac{{{f.numerator}}}{{{f.denominator}}}"
+    return str(f.numerator) if f.denominator == 1 else "\\frac{%d}{%d}" % (f.numerator, f.denominator)
 
 
 def to_fractions(s: str) -> str:
@@ -61,7 +61,7 @@ def without_marks(s: str) -> str:
     """Without calculator annotations, nested ones too."""
     n = 1
     while n:
-        s, n = re.subn(r"<<[^<>]*>>", "", s)
+        s, n = re.subn(r"<<[^><]*>>", "", s)
     return re.sub(r"<<|>>", "", s)
 
 
@@ -77,7 +77,7 @@ boxed = _mapped(box_content)
 unboxed = _mapped(without_boxes)
 fractions = _mapped(to_fractions)
 unmarked = _mapped(without_marks)
-_solution = _mapped(lambda s: re.sub(r"[ \t]+", " ", without_boxes(to_fractions(without_marks(s)))).strip())
+_solution = _mapped(lambda s: re.sub(r"(?: |\t)+", " ", without_boxes(to_fractions(without_marks(s)))).strip())
 
 
 def finished(body: Column, final: Column) -> Column:
@@ -87,7 +87,7 @@ def finished(body: Column, final: Column) -> Column:
 
 def simple_box(c: Column) -> Column:
     """What the last box without inner braces holds, else the whole text."""
-    found = F.regexp_extract_all(c, F.lit(r"\\boxed\{([^}]*)\}"), 1)
+    found = F.regexp_extract_all(c, F.lit(r"\\boxed[{]([^}]*)[}]"), 1)
     return strip(F.coalesce(F.try_element_at(found, F.lit(-1)), c))
 
 

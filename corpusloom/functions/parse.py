@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .text import collapse, options_list, prediction_text, question_key, strip, strip_thinking
 
-_CHOICES = (r"(?i)(?:Answer|Відповідь)\s*[:\-]?\s*([0-9]+)", r"^\s*([0-9]+)\s*[).:\-]?", r"(?U)\b([0-9]+)\b")
+_CHOICES = (r"(?i)(?:Відповідь|Answer)\s*[-:]?\s*(\d+)", r"^\s*(\d+)", r"(?U)\b([0-9]+)\b")
 
 
 def choice(prediction: Column, options: Column) -> Column:
@@ -24,15 +24,17 @@ def choice(prediction: Column, options: Column) -> Column:
     return F.coalesce(*(F.when(F.array_contains(keys, n), n) for n in numbered), F.try_element_at(held, F.lit(1))["key"])
 
 
-_NONE = ("no error", "немає помилки", "без помилки", "помилки немає")
+_NONE = ("без помилки", "no error", "помилки немає", "немає помилки")
 _WORD = re.compile(r"[\w'’-]+")
-_LABELS = re.compile(r"(?:wrong|incorrect) word\s*[:-]\s*([^\n,;]+).*?(?:correct word|correction)\s*[:-]\s*([^\n,;]+)|(?:помилкове|неправильне) слово\s*[:-]\s*([^\n,;]+).*?(?:виправлення|правильне слово)\s*[:-]\s*([^\n,;]+)", re.I | re.S)
-_ARROW = re.compile(r"([^\s,;:\"'`]+)\s*(?:[-=]>|[→—-])\s*([^\s,;:\"'`]+)")
-_QUOTED = re.compile(r"[\"'`«„“]([^\"'`»“]+)[\"'`»“]")
+_WRONG = ("incorrect word", "wrong word", "неправильне слово", "помилкове слово")
+_RIGHT = ("correction", "correct word", "правильне слово", "виправлення")
+_LABELS = re.compile(".*?".join(rf"(?:{'|'.join(names)})\s*[-:]\s*([^,;\n]+)" for names in (_WRONG, _RIGHT)), re.I | re.S)
+_ARROW = re.compile(r"([^`'\":;,\s]+)\s*(?:[-=]>|[→—-])\s*([^`'\":;,\s]+)")
+_QUOTED = re.compile(r"[«„“`'\"]([^»“`'\"]+)[»“`'\"]")
 
 
 def _tidy(s: str) -> str:
-    return " ".join(s.strip().strip('"').strip("'").split())
+    return " ".join(re.sub(r"^\s*\"*'*|'*\"*\s*$", "", s).split())
 
 
 def read_error_pair(text: str, strict: bool) -> tuple[str | None, str | None]:
@@ -42,8 +44,7 @@ def read_error_pair(text: str, strict: bool) -> tuple[str | None, str | None]:
         return "CORRECT", "CORRECT"
     for pattern in (_LABELS, _ARROW):
         if m := pattern.search(text):
-            a, b = [g for g in m.groups() if g is not None]
-            return _tidy(a), _tidy(b)
+            return _tidy(m[1]), _tidy(m[2])
     for found in (_QUOTED.findall(text), _WORD.findall(text)):
         if len(found) > 1:
             return _tidy(found[0]), _tidy(found[1])
@@ -89,8 +90,9 @@ def predicted_letter(answer: Column, options: Column) -> Column:
     return F.when(F.coalesce(answer, F.lit("")) != "", F.coalesce(letter, F.upper(strip(F.try_element_at(held, F.lit(1))["marker"]))))
 
 
-_OPTION = re.compile(r"(?:^|\n)([АБВГД])\s*:\s*([^\n]+)")
-_ANSWER = re.compile(r"Відповідь\s*:\s*([АБВГД])", re.I)
+_OPTION = re.compile(r"(?m)^([А-Д])\s*:\s*(.+)$")
+_ANSWER = re.compile(r"Відповідь\s*:\s*([А-Д])", re.I)
+_LAST = re.compile(r"\nВідповідь\s*:\s*[А-Д]\s*\Z", re.I)
 LETTERED = "question string, possible_answers map<string,string>, correct_answer_num string"
 
 
@@ -101,9 +103,9 @@ def read_lettered(user: str | None, reply: str | None) -> tuple | None:
     at = user.rfind(f"\n{options[0][0]}:")
     at = at if at >= 0 else user.find(f"{options[0][0]}:")
     question = (user[:at] if at >= 0 else user).strip()
-    question = re.sub(r"\nВідповідь\s*:\s*[АБВГД]\s*$", "", question, flags=re.I).strip()
+    question = _LAST.sub("", question).strip()
     if len(said) <= 2:
-        question = question.split("\nТЕМА:")[0].strip()
+        question = question.partition("\nТЕМА:")[0].rstrip()
     found = [said] if len(said) <= 2 else _ANSWER.findall(said)[:1]
     letter = next((x for x in [*found, *_ANSWER.findall(question)[:1]] if x), None)
     if letter not in {x for x, _ in options} or len(letter) != 1:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 ZERO_WIDTH = "\u200b\u200c\u200d\u200e\u200f\ufeff\u00ad"
-CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+CONTROL = r"[\p{Cc}&&[^\t\n\r\x80-\x9f]]"
 UKRAINIAN = "абвгґдеєжзиіїйклмнопрстуфхцчшщьюя'"
 
 

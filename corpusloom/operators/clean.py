@@ -19,10 +19,10 @@ THRESHOLDS: dict[str, dict[str, float]] = {
     for pair, chars, words in (("en-uk", (0.50, 2.20), (0.25, 4.00)), ("cs-uk", (0.60, 1.80), (0.30, 3.50)))
 }
 COPY = {"cs-uk": (0.60, 1.80, 0.15), "en-uk": (0.50, 2.20, 0.20)}
-WEIGHTS = {"semantic": 0.35, "uk_quality": 0.35, "structural": 0.15, "qe": 0.15}
+WEIGHTS = dict(zip(("semantic", "uk_quality", "structural", "qe"), (0.35, 0.35, 0.15, 0.15)))
 RUSSIAN = "бы был была были вот всё ведь даже другой его если ещё же здесь или какой когда который между нет они очень перед после потому сам себя сейчас так такой там тогда тоже только уже через что чтобы это".split()
-URL = r"https?://\S+|www\.\S+"
-NUMBER = r"(?U)\b\d[\d\s,.']*\d|\b\d\b"
+URL = r"www\.\S+|https?://\S+"
+NUMBER = r"(?U)\b\d(?:[\s\d'.,]*\d|\b)"
 
 
 def thresholds(pair: str, overrides: dict | None = None) -> dict:

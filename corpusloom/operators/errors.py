@@ -11,11 +11,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_CANDIDATE = re.compile(r"[A-Za-zА-Яа-яІіЇїЄєҐґ']{4,}")
+_CANDIDATE = re.compile(r"['A-Za-zА-ЯЄІЇҐа-яєіїґ]{4,}")
 _UKRAINIAN = frozenset("абвгґдеєжзиіїйклмнопрстуфхцчшщьюя'")
 _PAIRS = "иі еє оа ую ть шщ пр нм".split()
 SIMILAR = {a: b for p in _PAIRS for a, b in (p, p[::-1])} | {"а": "о"}
 LOOKALIKE = dict(zip("aceiopxyACEIOPXY", "асеіорхуАСЕІОРХУ"))
+_SAME = ("CORRECT",) * 2
 _TOKEN = re.compile(r"[\w'’-]+")
 
 
@@ -68,7 +69,7 @@ def _exchange(w: str, d: Draw, table: Callable[[str], str | None]) -> str:
 
 
 def _similar(ch: str) -> str | None:
-    other = LOOKALIKE.get(ch) or SIMILAR.get(ch.lower())
+    other = LOOKALIKE.get(ch, SIMILAR.get(ch.lower()))
     return other.upper() if other and ch.isupper() else other
 
 
@@ -116,8 +117,8 @@ def _changes(a, b) -> list[tuple[int, int, int, int]]:
 def difference(source: str | None, target: str | None) -> tuple[str, str, int]:
     """The first words that differ (else characters), an empty side filled with the other, and the number of such regions."""
     source, target = source or "", target or ""
-    if source.strip() == target.strip():
-        return "CORRECT", "CORRECT", 0
+    if not _changes([source.strip()], [target.strip()]):
+        return *_SAME, 0
     a, b = _TOKEN.findall(source), _TOKEN.findall(target)
     by_word, regions, pair = _changes(a, b), 0, None
     for x, y, glue, found in ((a, b, " ", by_word), (source, target, "", None)):
@@ -130,7 +131,7 @@ def difference(source: str | None, target: str | None) -> tuple[str, str, int]:
                 break
         if pair:
             break
-    return *(pair or ("CORRECT", "CORRECT")), regions
+    return *(pair or _SAME), regions
 
 
 def differing(source: Column, target: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import clean, dedup, stats
 
-STAGES = {1: "unicode", 2: "dedup", 3: "language", 4: "uk_quality", 5: "structural", 6: "entity", 7: "copy_source", 8: "semantic", 9: "composite"}
+STAGES = dict(enumerate("unicode dedup language uk_quality structural entity copy_source semantic composite".split(), 1))
 
 
 @dataclass(frozen=True)
@@ -80,7 +80,7 @@ def judge(pairs: DataFrame, stages: list[int] | str = (1, 2, 5, 6, 7), config: C
         elif k == 8:
             df = _semantic(df, config)
         else:
-            here = {"semantic": "semantic_score", "uk_quality": "uk_quality_score", "structural": "structural_score"}
+            here = {n: f"{n}_score" for n in (STAGES[8], STAGES[4], STAGES[5])}
             scores = {n: F.col(c) for n, c in here.items() if c in df.columns}
             if config.estimate is not None:
                 scores["qe"] = clean.sigmoid(config.estimate)

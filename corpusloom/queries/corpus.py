@@ -17,7 +17,7 @@ def unicode_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _UNICODE = r"""with d as (select doc_id, nfc_normalize(chr(8203) || ' ' || chr(9) || text || ' e' || chr(769) || chr(173) || ' ' || chr(8217) || chr(7) || ' ' || chr(9) || ' x' || chr(700) || chr(160) || ' ') t from documents)
-select doc_id, regexp_replace(regexp_replace(regexp_replace(translate(t, chr(700) || chr(8217) || chr(8203) || chr(8204) || chr(8205) || chr(8206) || chr(8207) || chr(65279) || chr(173), ''''''), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[ \t\r\f\v]+', ' ', 'g'), '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g') as text from d"""
+select doc_id, regexp_replace(regexp_replace(regexp_replace(translate(t, chr(700) || chr(8217) || chr(8203) || chr(8204) || chr(8205) || chr(8206) || chr(8207) || chr(65279) || chr(173), ''''''), '[\x7f\x0e-\x1f\x0b\x0c\x00-\x08]', '', 'g'), '[ \t\r\f\v]+', ' ', 'g'), '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g') as text from d"""
 
 
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,7 +75,7 @@ def entity_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(pairs_from_turns(spark, sf_dir), clean.entity(*_sides()))
 
 
-_NUMBER = "\\b\\d[\\d\\s,.'']*\\d|\\b\\d\\b"
+_NUMBER = "\\b\\d(?:[\\s\\d''.,]*\\d|\\b)"
 _URL = clean.URL
 _ENTITY = f"""with {_PAIRS}, n as (select *, regexp_extract_all(source, '{_NUMBER}') a, regexp_extract_all(target, '{_NUMBER}') b, abs({_n('source', _URL)} - {_n('target', _URL)}) urls,
 abs({_n('source', '[0-9]+\\s*%')} - {_n('target', '[0-9]+\\s*%')}) pct, abs({_balance('source', '[(\\[{]', '[)\\]}]')} - {_balance('target', '[(\\[{]', '[)\\]}]')}) br from pairs),
