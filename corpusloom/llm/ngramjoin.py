@@ -18,7 +18,11 @@ and Feng 2012).
    whose share of the corpus doesn't shrink as it grows).  It orders n-grams and
    estimates candidates; collisions affect cost and never the result.
 2. Postings (n-gram, set, position level) are shuffled by n-gram; partitions sort
-   them in numpy and emit the pairs of each n-gram, summed per partition.
+   them in numpy and emit the pairs of each n-gram, summed per partition.  Sets of a
+   large group of near copies share all of a long prefix, and every partition would
+   emit all of the group's pairs; so each set also has two blocks (its least prefix
+   n-grams by two orders), pairs of a common block are emitted by it alone, once,
+   as candidates, and only other pairs are counted by n-grams.
 3. Pairs with enough matches are verified exactly. Their compressed texts (a bitmap
    of the candidates' ids, of bounded size, keeps nearly all other documents out of
    that shuffle) meet in blocks of at most BLOCK sets keyed by a common neighbour,
@@ -140,6 +144,17 @@ def prefixes(grams: np.ndarray, first: np.ndarray, expected: np.ndarray, thresho
     return doc[keep], g[keep], level[keep], own
 
 
+_SEEDS = (np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6BC2B2AE35))
+
+
+def blocks(doc: np.ndarray, grams: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 32-bit blocks of each set: hashes of the least n-gram of its shortest prefix by two orders. Sets that are nearly equal nearly always share one."""
+    doc, x = doc[level == 1], grams[level == 1].view(np.uint64)
+    head = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.empty(0, np.int64)
+    a, b = (textops.mix(np.minimum.reduceat(textops.mix(x ^ s), head)) >> np.uint64(32) if len(x) else x for s in _SEEDS)
+    return a, b
+
+
 _SCAN = "doc_id long, sig long, n int, part int, counts binary"
 _PART = 1 << 16
 
@@ -178,12 +193,12 @@ def _pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
     tables = [b for b in batches if b.num_rows]
     if not tables:
         return
-    gram, sig, meta = (np.concatenate([b.column(k).to_numpy() for b in tables]) for k in range(3))
+    gram, sig, meta, block = (np.concatenate([b.column(k).to_numpy() for b in tables]) for k in range(4))
     order = np.lexsort((meta, sig, gram))
-    gram, sig, meta = gram[order], sig[order], meta[order]
+    gram, sig, meta, block = gram[order], sig[order], meta[order], block[order]
     new = np.ones(len(gram), bool)
     new[1:] = (gram[1:] != gram[:-1]) | (sig[1:] != sig[:-1])  # copies of a document post alike
-    gram, sig, meta = gram[new], sig[new], meta[new]
+    gram, sig, meta, block = gram[new], sig[new], meta[new], block[new].view(np.uint64)
     head = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
     count = np.diff(np.concatenate((head, [len(gram)])))
     size, level, own = meta >> 16, (meta >> 8) & 255, meta & 255
@@ -219,7 +234,12 @@ def _pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
             y = x + d
             k = np.minimum(own[x], own[y])
             small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-            ok = (np.maximum(level[x], level[y]) <= k) & (small >= threshold * large - 1e-9)
+            apart = block[x] ^ block[y]
+            first, second = apart >> np.uint64(32) == 0, apart & np.uint64(0xFFFFFFFF) == 0
+            # sets of one block are paired by it (by the first if they share both), and by no n-gram
+            met = np.where(level[x] == 0, (own[x] == 1) | ~first, ~(first | second) & (np.maximum(level[x], level[y]) <= k))
+            ok = met & (small >= threshold * large - 1e-9)
+            k = np.where(level[x] == 0, 1, k)
             x, y, k = x[ok], y[ok], k[ok]
             held.append((sig[x], sig[y], k))  # sorted by signature within a group: x < y
             pending += len(x)
@@ -307,11 +327,18 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, n: int = N) -> Join
             for i, j in textops.chunks(text):
                 grams, first, expected = gram_sets(text[i:j], n, frequency.value)
                 doc, g, level, own = prefixes(grams, first, expected, threshold)
-                meta = (np.diff(first)[doc] << 16) | (level << 8) | own[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(signatures(grams, first)[doc]), pa.array(meta)], names=["gram", "sig", "meta"])
+                size, sig = np.diff(first), signatures(grams, first)
+                one, two = blocks(doc, g, level)
+                both = ((one << np.uint64(32)) | two).view(np.int64)
+                # level 0 marks the postings of the blocks, 1 and 2 in place of k
+                keys = [textops.mix(x + (np.uint64(i) << np.uint64(40))).view(np.int64) for i, x in ((1, one), (2, two))]
+                g = np.concatenate((g, *keys))
+                meta = np.concatenate(((size[doc] << 16) | (level << 8) | own[doc], (size << 16) | 1, (size << 16) | 2))
+                sets = np.concatenate((doc, np.arange(len(size)), np.arange(len(size))))
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(sig[sets]), pa.array(meta), pa.array(both[sets])], names=["gram", "sig", "meta", "block"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = texts.mapInArrow(post, "gram long, sig long, meta long").repartition(parts, "gram")
+    postings = texts.mapInArrow(post, "gram long, sig long, meta long, block long").repartition(parts, "gram")
     matched = postings.mapInArrow(lambda it: _pairs(it, threshold), "a long, b long, k int, n int").groupBy("a", "b", "k").agg(F.sum("n").alias("n")).where("n >= k").select("a", "b")
     candidates = shared.save(matched, "candidates")
 
