@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame
 from . import bpe, pretokens, textops
 
 RULES: tuple[tuple[str, str], ...] = ((r"[0-9]{7,}", "<number>"),)
+#: Start, end and new text.
+Edit = tuple[int, int, str]
 SCHEMA = "doc_id long, n_tokens long, n_edits long, n_ignored long, n_reencoded long, n_tokens_after long"
 
 
@@ -88,7 +90,7 @@ class Document:
         self.text, self.starts = text, starts
         self.tree = Tree(counts)
 
-    def edit(self, edits: list[tuple[int, int, str]], count: Callable[[str], int]) -> tuple[int, int, int]:
+    def edit(self, edits: list[Edit], count: Callable[[str], int]) -> tuple[int, int, int]:
         """Applies edits (start, end, new text); numbers applied, ignored and of pre-tokens re-encoded. `count` gives the tokens of a pre-token."""
         good, last = [], 0
         for s, e, new in sorted((x for x in edits if x[0] is not None and x[1] is not None), key=lambda x: x[:2]):
@@ -137,11 +139,11 @@ class Document:
         return len(good), len(edits) - len(good), again
 
 
-def by_rules(rules: tuple[tuple[str, str], ...]) -> Callable[[str], list[tuple[int, int, str]]]:
+def by_rules(rules: tuple[tuple[str, str], ...]) -> Callable[[str], list[Edit]]:
     """The edits that replace every match of a pattern; of overlapping ones the leftmost."""
     compiled = [(re.compile(p), new) for p, new in rules]
 
-    def edits(text: str) -> list[tuple[int, int, str]]:
+    def edits(text: str) -> list[Edit]:
         return [(*m.span(), new) for p, new in compiled for m in p.finditer(text)]
 
     return edits
