@@ -5,22 +5,32 @@ slices of CLASS words of the vocabulary by frequency; the last class takes all
 other words, by hash.  Both factors are softmaxes over sums of weight rows: a bias
 and three hashed features of the context, the bigram, the trigram and the skip
 bigram (the second word back without the first); rows of the word factor are
-hashed with the class.  So a word costs two softmaxes of 64, not one of 4096.
+hashed with the class, and the context's words are told apart by their own hashes,
+frequent or not.  So a word costs two softmaxes of 64, not one of 4096.
 
-1. Words are counted over the whole corpus; counts give vocabulary, classes and
-   the biases' first values.
+A slot of the last class is split further by the next digits of the hash, a softmax
+of CLASS each, with as many levels as the counted vocabulary fills (LEVELS at
+most).  Words that still share a place divide its probability by their counts, so
+the probabilities of all counted words, and of one unseen word a place, sum to one.
+
+1. Words are counted over the whole corpus; counts give vocabulary, classes,
+   levels and the biases' first values.
 2. Training is distributed: from the broadcast weights every partition takes
    gradient steps over all of its words, in batches of sparse rows (only rows of
    features that occur are touched), and sends what changed, in half precision by
    blocks of rows; changes are averaged by words seen.  ROUNDS such passes.
-3. Scoring runs the forward pass over the same sparse batches.
+3. Scoring runs the forward pass over the same sparse batches. Counts of the most
+   frequent other words (TABLE at most) go along; where the vocabulary is larger,
+   the rest of each text's words are joined with the table of counts.
 
-What is broadcast has a fixed size (2 * ROWS * CLASS weights); what is gathered
-grows with the corpus.
+What is broadcast has a fixed size (at most (2 + LEVELS) * ROWS * CLASS weights,
+CLASS ** (LEVELS + 1) biases and TABLE counts); what is gathered grows with the
+corpus.
 
 Defined results: null, empty and word-less texts have n_words 0 and null scores;
 null and repeated ids and repeated rows are scored row by row (and repeated rows
-are trained on as often); ties in frequency are ordered by hash; other columns
+are trained on as often); a word that was never counted has the unseen word's
+probability of its place; ties in frequency are ordered by hash; other columns
 are never read; an empty table gives an empty result.
 """
 
@@ -31,6 +41,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +49,9 @@ from . import shared, textops
 
 CLASS = 64
 CLASSES = 64
-ROWS = 1 << 14  # row numbers of both factors must fit 16 bits
+LEVELS = 2
+TABLE = 1 << 18
+ROWS = 1 << 14  # row numbers of all factors, (2 + LEVELS) * ROWS, must fit 16 bits
 ROUNDS = 1
 RATE = 0.5
 BATCH = 8192
@@ -47,13 +60,23 @@ _KINDS = 3
 
 
 class Model(NamedTuple):
-    """Vocabulary (sorted hashes and the word numbers they stand for) and weights: classes then words, by row; biases."""
+    """Vocabulary (sorted hashes and the word numbers they stand for) and weights: classes, words, then levels, by row; biases.
+
+    `split` has the biases of each level by place; `shared` the counted weight of each last place; `other` and `other_count`
+    the sorted hashes and counts of other words, all of them if `whole`, else the rest is in the table `counts`.
+    """
 
     known: np.ndarray
     number: np.ndarray
     weights: np.ndarray
     class_bias: np.ndarray
     word_bias: np.ndarray
+    split: tuple[np.ndarray, ...] = ()
+    shared: np.ndarray = np.ones(CLASS)
+    other: np.ndarray = np.empty(0, np.uint64)
+    other_count: np.ndarray = np.empty(0)
+    whole: bool = True
+    counts: str = ""
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
         """Word numbers: class * CLASS + place in the class."""
@@ -64,23 +87,38 @@ class Model(NamedTuple):
         return np.where(self.known[k] == h, self.number[k], other)
 
 
-def _features(model: Model, w: textops.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers, and the weight rows of the class factor and of the word factor, for every word of the chunk."""
+class Features(NamedTuple):
+    """Of every word of a chunk: number, weight rows of the class factor and of the word factor. Of the words of the last class: positions, and for each level weight rows, place and digit."""
+
+    ids: np.ndarray
+    rows_c: np.ndarray
+    rows_w: np.ndarray
+    tail: np.ndarray
+    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _features(model: Model, w: textops.Words) -> Features:
     ids = model.numbers(w.hash)
     place = np.arange(len(ids)) - w.first[w.doc]
-    start = CLASS * CLASSES
-    one = np.full(len(ids), start, np.int64)
-    two = one.copy()
-    one[1:], two[2:] = ids[:-1], ids[:-2]
-    one[place < 1], two[place < 2] = start, start
-    n = np.uint64(start + 1)
-    a, b = one.astype(np.uint64), two.astype(np.uint64)
+    a = np.zeros(len(ids), np.uint64)  # no word
+    b = a.copy()
+    a[1:], b[2:] = w.hash[:-1], w.hash[:-2]
+    a[place < 1], b[place < 2] = 0, 0
+    n = np.uint64(CLASS * CLASSES + 1)
     context = np.stack((a, n + a * n + b, n + n * n + b))
     by_class = textops.mix(context + np.uint64(7))
-    klass = (ids // CLASS).astype(np.uint64)
-    by_word = textops.mix(by_class ^ (klass + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
     bits = np.uint64(ROWS - 1)
-    return ids, (by_class & bits).astype(np.int64), ROWS + (by_word & bits).astype(np.int64)
+
+    def rows(k: int, by: np.ndarray, node: np.ndarray) -> np.ndarray:
+        return k * ROWS + (textops.mix(by ^ (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) & bits).astype(np.int64)
+
+    tail = np.flatnonzero(ids >= (CLASSES - 1) * CLASS) if model.split else np.empty(0, np.int64)
+    levels = []
+    for k, bias in enumerate(model.split, 1):
+        h = w.hash[tail]
+        node = (h % np.uint64(len(bias))).astype(np.int64)
+        levels.append((rows(1 + k, by_class[:, tail], node), node, (h // np.uint64(len(bias)) % np.uint64(CLASS)).astype(np.int64)))
+    return Features(ids, (by_class & bits).astype(np.int64), rows(1, by_class, ids // CLASS), tail, levels)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -89,14 +127,16 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _factor(model: Model, rows: np.ndarray, logits: np.ndarray) -> np.ndarray:
+    """Probabilities of one factor from its biases, which are overwritten."""
+    for k in range(_KINDS):
+        logits += model.weights[rows[k]]
+    return _softmax(logits)
+
+
 def _forward(model: Model, ids: np.ndarray, rows_c: np.ndarray, rows_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities of all classes, and of all words of the right class."""
-    out = []
-    for rows, logits in ((rows_c, np.repeat(model.class_bias[None], len(ids), axis=0)), (rows_w, model.word_bias[ids // CLASS])):
-        for k in range(_KINDS):
-            logits += model.weights[rows[k]]
-        out.append(_softmax(logits))
-    return out[0], out[1]
+    return _factor(model, rows_c, np.repeat(model.class_bias[None], len(ids), axis=0)), _factor(model, rows_w, model.word_bias[ids // CLASS])
 
 
 def _sums(grad: np.ndarray, order: np.ndarray, head: np.ndarray) -> np.ndarray:
@@ -135,27 +175,56 @@ def train_on(model: Model, chunks: Iterator[list[str]], rate: float = RATE) -> t
     seen = 0
     for texts in chunks:
         w = textops.words(texts)
-        ids, rows_c, rows_w = _features(own, w)
+        ids, rows_c, rows_w, tail, levels = _features(own, w)
         for i in range(0, len(ids), BATCH):
             s = slice(i, i + BATCH)
             c, x = _forward(own, ids[s], rows_c[:, s], rows_w[:, s])
             _step(own, energy, rows_c[:, s], ids[s] // CLASS, c, rate)
             _step(own, energy, rows_w[:, s], ids[s] % CLASS, x, rate)
+        for bias, (rows, node, digit) in zip(own.split, levels):
+            for i in range(0, len(tail), BATCH):
+                s = slice(i, i + BATCH)
+                _step(own, energy, rows[:, s], digit[s], _factor(own, rows[:, s], bias[node[s]]), rate)
         seen += len(ids)
     return own.weights, seen
 
 
-def score_texts(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Words and summed log-probability of each text."""
+def _scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words and summed log-probability of each text, without the counts of the words that the model has none of: those words' documents and hashes."""
     w = textops.words(texts)
-    ids, rows_c, rows_w = _features(model, w)
+    ids, rows_c, rows_w, tail, levels = _features(model, w)
     out = np.zeros(len(ids))
     for i in range(0, len(ids), BATCH):
         s = slice(i, i + BATCH)
         c, x = _forward(model, ids[s], rows_c[:, s], rows_w[:, s])
         at = np.arange(len(c))
         out[s] = np.log(np.maximum(c[at, ids[s] // CLASS], 1e-30)) + np.log(np.maximum(x[at, ids[s] % CLASS], 1e-30))
-    return np.diff(w.first), np.bincount(w.doc, out, len(texts)) if len(out) else np.zeros(len(texts))
+    for bias, (rows, node, digit) in zip(model.split, levels):
+        for i in range(0, len(tail), BATCH):
+            s = slice(i, i + BATCH)
+            x = _factor(model, rows[:, s], bias[node[s]])
+            out[tail[s]] += np.log(np.maximum(x[np.arange(len(x)), digit[s]], 1e-30))
+    tail = np.flatnonzero(ids >= (CLASSES - 1) * CLASS)
+    h = w.hash[tail]
+    out[tail] -= np.log(model.shared[(h % np.uint64(len(model.shared))).astype(np.int64)])
+    found = np.zeros(len(h), bool)
+    if len(model.other) and len(h):
+        k = np.minimum(np.searchsorted(model.other, h), len(model.other) - 1)
+        found = model.other[k] == h
+        out[tail[found]] += np.log(model.other_count[k[found]])
+    rest = tail[~found]
+    return np.diff(w.first), np.bincount(w.doc, out, len(texts)) if len(out) else np.zeros(len(texts)), w.doc[rest], w.hash[rest]
+
+
+def _unseen(model: Model) -> float:
+    """Log-weight of the unseen word of a place: one count for each slot of the last class, spread over its places."""
+    return float(np.log(CLASS / len(model.shared)))
+
+
+def score_texts(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Words and summed log-probability of each text. Words that the model has no count of are unseen ones here; score() looks them up."""
+    n, p, doc, _ = _scores(model, texts)
+    return n, p + np.bincount(doc, minlength=len(texts)) * _unseen(model)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[str]]:
@@ -203,18 +272,51 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def start(docs: DataFrame) -> Model:
     """Vocabulary and biases from the counts of the whole corpus; other weights zero."""
-    counts = shared.save(word_counts(docs), "words")
+    path = shared.folder(docs.sparkSession, "words")
+    word_counts(docs).write.parquet(path)
+    counts = docs.sparkSession.read.schema("word long, count long").parquet(path)
     size = (CLASSES - 1) * CLASS
     top = counts.orderBy(F.col("count").desc(), "word").limit(size).collect()
-    everything = counts.agg(F.sum("count")).collect()[0][0] or 0
     h = np.array([r.word for r in top], np.int64).view(np.uint64)
+    often = np.array([r["count"] for r in top], np.int64)
+
+    # words of equal counts go to the model's own table together, or none of them
+    of_count = sorted(((r["count"], r.n) for r in counts.groupBy("count").agg(F.count("*").alias("n")).collect()), reverse=True)
+    total = np.cumsum([n for _, n in of_count])
+    fits = int(np.searchsorted(total, TABLE, "right"))
+    held = counts.where(F.col("count") >= of_count[fits - 1][0]).toArrow() if fits else None
+    other = held["word"].to_numpy().view(np.uint64) if held else np.empty(0, np.uint64)
+    other_count = held["count"].to_numpy().astype(np.float64) if held else np.empty(0)
+    free = ~np.isin(other, h)
+    other, other_count = other[free], other_count[free]
+    by_hash = np.argsort(other)
+
+    left = max(0, (int(total[-1]) if len(total) else 0) - len(top))
+    levels = 0
+    while levels < LEVELS and CLASS ** (levels + 2) <= left:
+        levels += 1
+    places = CLASS ** (levels + 1)
+    weight = np.full(places, CLASS / places)
+    sums = counts.groupBy(F.col("word").bitwiseAND(F.lit(places - 1)).alias("place")).agg(F.sum("count").alias("count")).toArrow()
+    weight[sums["place"].to_numpy()] += sums["count"].to_numpy()
+    np.subtract.at(weight, (h % np.uint64(places)).astype(np.int64), often)
+    weight = np.maximum(weight, CLASS / places)  # rounding
+    split = []
+    for k in range(levels):
+        node = CLASS ** (k + 1)
+        of_digit = weight.reshape(-1, CLASS, node).sum(axis=0)
+        split.append(np.log(of_digit / of_digit.sum(axis=0)).T.astype(np.float32).copy())
+
     n = np.ones(CLASS * CLASSES)
-    n[: len(top)] += [r["count"] for r in top]
-    n[size:] += max(0, everything - sum(r["count"] for r in top)) / CLASS
+    n[: len(top)] += often
+    n[size:] = weight.reshape(-1, CLASS).sum(axis=0)
     table = np.log(n / n.sum()).reshape(CLASSES, CLASS)
     by_class = np.log(np.exp(table).sum(axis=1))
     order = np.argsort(h)
-    return Model(h[order], order.astype(np.int64), np.zeros((2 * ROWS, CLASS), np.float32), by_class.astype(np.float32), (table - by_class[:, None]).astype(np.float32))
+    return Model(
+        h[order], order.astype(np.int64), np.zeros(((2 + levels) * ROWS, CLASS), np.float32), by_class.astype(np.float32), (table - by_class[:, None]).astype(np.float32),
+        tuple(split), weight, other[by_hash], other_count[by_hash], fits == len(of_count), path,
+    )
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> Model:
@@ -253,14 +355,30 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_words, log_prob (natural, summed) and perplexity of a word."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             for i, j in textops.chunks(texts):
-                n, p = score_texts(sent.value, texts[i:j])
-                none = n == 0
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(p, mask=none), pa.array(np.exp(-p / np.maximum(n, 1)), mask=none)], names=["doc_id", "n_words", "log_prob", "perplexity"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, log_prob double, perplexity double")
+                n, p, doc, h = _scores(sent.value, texts[i:j])
+                if sent.value.whole:
+                    p, doc, h = p + np.bincount(doc, minlength=j - i) * _unseen(sent.value), doc[:0], h[:0]
+                order = np.lexsort((h, doc))
+                doc, h = doc[order], h[order]
+                head = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))) if len(h) else np.empty(0, np.int64)
+                ends = pa.array(np.searchsorted(doc[head], np.arange(j - i + 1)).astype(np.int32))
+                words, times = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (h[head].view(np.int64), np.diff(np.append(head, len(h)))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + j - i)), b.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(p, mask=n == 0), words, times], names=["row", "doc_id", "n_words", "log_prob", "words", "times"])
+                row += j - i
+
+    out = docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n_words long, log_prob double, words array<long>, times array<long>")
+    if not model.whole:
+        out = shared.save(out, "scores")
+        counts = spark.read.schema("word long, count long").parquet(model.counts)
+        rest = out.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+        known = rest.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.coalesce(F.log("count"), F.lit(_unseen(model)))).alias("more"))
+        out = out.drop("words", "times").join(known, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    return out.select("doc_id", "n_words", "log_prob", F.exp(-F.col("log_prob") / F.col("n_words")).alias("perplexity"))

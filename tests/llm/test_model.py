@@ -54,3 +54,32 @@ def test_counts_cover_every_word(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     counts = [r["count"] for r in maxent.word_counts(docs).collect()]
     assert sum(counts) == 50 * 200 and len(counts) == len({w for t in texts for w in t.split()})
+
+
+def test_all_counted_words_share_one_probability(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 12_000
+    ranks = np.concatenate((np.arange(n), rng.zipf(1.3, 60_000) % n))
+    rng.shuffle(ranks)
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in ranks[i::100])) for i in range(100)], "doc_id long, text string").repartition(3)
+    single = spark.createDataFrame([(i, f"w{i}") for i in range(n)], "doc_id long, text string")
+    sums, scores = [], []
+    for table in (1 << 18, 3000):
+        monkeypatch.setattr(maxent, "TABLE", table)
+        model = maxent.fit(docs)
+        assert model.whole == (table > n) and len(model.split) == 1
+        got = {r.doc_id: r.log_prob for r in maxent.score(single, model).collect()}
+        sums.append(sum(np.exp(list(got.values()))))
+        scores.append([got[i] for i in range(n)])
+    assert 0.9 < sums[0] < 1 + 1e-3 and np.allclose(*scores, atol=1e-4)
+    unseen = maxent.score_texts(model, ["neverseen"])[1][0]
+    assert unseen <= np.median(scores[0])
+
+
+def test_rare_words_differ_as_context():
+    w = maxent.textops.words(["rare1 x", "rare2 x"])
+    size = maxent.CLASS * maxent.CLASSES
+    model = maxent.Model(np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros((2 * maxent.ROWS, maxent.CLASS), np.float32), np.zeros(maxent.CLASSES, np.float32), np.zeros((maxent.CLASSES, maxent.CLASS), np.float32))
+    h = np.array([1, 1 + size], np.uint64)  # one slot
+    rows = maxent._features(model, w._replace(hash=np.array([h[0], 5, h[1], 5], np.uint64)))[1]
+    assert rows[0, 1] != rows[0, 3]
