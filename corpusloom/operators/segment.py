@@ -30,22 +30,18 @@ def fixed(df: DataFrame, group: list[str], order: str, text: str, k: int) -> Dat
 def paragraphs(df: DataFrame, group: list[str], order: str, columns: list[str], sentences: tuple[int, int], chars: tuple[int, int], seed: int = 42) -> DataFrame:
     """Windows of a random number of consecutive rows, joined by spaces; one that the group's end cuts below the least size is dropped, so are those outside the length bounds.
 
-    A document's boundaries need only its number of rows and the draws, so they are
-    made once per document by a fold over numbers; texts never pass through Python.
+    A group's boundaries need only its number of rows and the draws: they are running
+    sums of numbers, and each row finds its window by its place. Texts never pass through Python.
     """
     low, high = sentences
-    w = Window.partitionBy(*group).orderBy(order)
-    placed = df.withColumn("__at", F.row_number().over(w)).withColumn("__n", F.count("*").over(Window.partitionBy(*group)))
-    size = lambda k: (low + F.floor(uniform(seed, *group, k) * (high - low + 1))).cast("int")
-    ends = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("__n") / low).cast("int"))),
-        F.array(F.lit(0)),
-        lambda acc, k: F.when(F.element_at(acc, -1) >= F.col("__n"), acc).otherwise(F.concat(acc, F.array(F.least(F.element_at(acc, -1) + size(k), F.col("__n").cast("int"))))),
-    )
-    counts = placed.select(*group, "__n").distinct().select(*group, F.posexplode(F.zip_with(F.slice(ends, 1, F.size(ends) - 1), F.slice(ends, 2, F.size(ends) - 1), lambda a, b: F.struct(a.alias("lo"), b.alias("hi")))).alias("window", "span"))
-    within = placed.join(counts.where(F.col("span.hi") - F.col("span.lo") >= low), group).where("__at > span.lo and __at <= span.hi")
+    placed = df.withColumn("__at", F.row_number().over(Window.partitionBy(*group).orderBy(order)))
+    drawn = placed.groupBy(*group).agg(F.count("*").alias("__n")).select(*group, "__n", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__n") / low).cast("int"))).alias("__k"))
+    drawn = drawn.withColumn("__size", (low + F.floor(uniform(seed, *group, F.col("__k")) * (high - low + 1))).cast("int"))
+    drawn = drawn.withColumn("__hi", F.sum("__size").over(Window.partitionBy(*group).orderBy("__k"))).withColumn("__lo", F.col("__hi") - F.col("__size"))
+    spans = drawn.select(*group, (F.col("__k") - 1).alias("window"), "__lo", F.least("__hi", "__n").alias("__hi")).where(F.col("__hi") - F.col("__lo") >= low)
+    places = spans.select(*group, "window", F.explode(F.sequence(F.col("__lo") + 1, F.col("__hi"))).alias("__at"))
     rows = F.array_sort(F.collect_list(F.struct("__at", *columns)))
-    done = within.groupBy(*group, "window").agg(rows.alias("__rows"), F.count("*").alias("n"))
+    done = placed.join(places.hint("merge"), [*group, "__at"]).groupBy(*group, "window").agg(rows.alias("__rows"), F.count("*").alias("n"))
     out = done.select(*group, "window", "n", *(F.array_join(F.col(f"__rows.{c}"), " ").alias(c) for c in columns))
     for c in columns:
         out = out.where(F.length(c).between(*chars))

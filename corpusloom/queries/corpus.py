@@ -99,8 +99,9 @@ def greedy_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def random_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.substring_index("text", "\n", 1).alias("text"))
-    return segment.paragraphs(docs, ["source"], "doc_id", ["text"], (3, 15), (80, 400_000)).select("source", "window", "n", F.length("text").alias("n_chars"))
+    """All lines of a source in order of document and position."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("position", "text"))
+    return segment.paragraphs(docs.select("source", F.struct("doc_id", "position").alias("at"), "text"), ["source"], "at", ["text"], (3, 15), (80, 400_000)).select("source", "window", "n", F.length("text").alias("n_chars"))
 
 
 def corpus_describe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,10 @@ import os
 import duckdb
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from corpusloom import queries
+from corpusloom.operators.sample import uniform
 
 
 def plain(v):
@@ -43,3 +45,26 @@ def test_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_runs(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
+
+
+def test_paragraphs_hold_every_line(spark, duck):
+    """Windows against a walk over all lines of each source, with the sizes that the query's windows show."""
+    docs = duck.execute("select source, text from documents where text is not null order by source, doc_id").fetchall()
+    lines = {}
+    for source, text in docs:
+        lines.setdefault(source, []).extend(text.split("\n"))
+    got = {}
+    for r in queries.QUERIES["random_paragraphs"](spark, SF).collect():
+        got.setdefault(r.source, {})[r.window] = (r.n, r.n_chars)
+    assert got.keys() == lines.keys()
+    for source, want in lines.items():
+        ks = spark.range(1, len(want) // 3 + 2).selectExpr(f"'{source}' source", "cast(id as int) k")
+        draws = [r.d for r in ks.select("k", uniform(42, "source", F.col("k")).alias("d")).orderBy("k").collect()]
+        at, expected = 0, {}
+        for window, d in enumerate(draws):
+            rows = want[at : at + 3 + int(d * 13)]
+            at += len(rows)
+            n_chars = len(" ".join(rows))
+            if len(rows) >= 3 and 80 <= n_chars <= 400_000:
+                expected[window] = (len(rows), n_chars)
+        assert got[source] == expected and at == len(want)
