@@ -19,8 +19,8 @@ hold.
 A document is contaminated by an item if the edit distance is at most
 MAX_EDITS times the item's words.
 
-Defined results: items of fewer than MIN_WORDS words are left out, since they
-occur by chance; null texts (of documents or items) and empty ones match nothing;
+Defined results: items of fewer than MIN_WORDS words match only where a document
+holds all of their words in a row, without edits; null texts (of documents or items) and empty ones match nothing;
 repeated items are reported each under its id; repeated rows and null ids of
 documents are carried along row by row; other columns are never read; empty
 tables give empty results.  The benchmark goes to the workers in slices of
@@ -98,12 +98,22 @@ class Index:
             a, b = int(self.first[k]), int(self.first[k + 1])
             if b - a < MIN_WORDS:
                 continue
-            room = max(1, b - a - _REACH)
+            # a short item is walked from any of its words, as an edit would else hit the few starts; what lies beyond its end agrees
+            short = b - a < 2 * _REACH
+            room = b - a - SAMPLES + 1 if short else b - a - _REACH
             rare = sorted(range(room), key=lambda o: (seen[int(self.symbols[a + o])], o))
             # spread over the item, the rarer half first
-            half = sorted(rare[: max(1, (room + 1) // 2)])
+            half = sorted(rare if short else rare[: (room + 1) // 2])
             for r in range(self.walks.reps):
                 starts[r].append((k, half[r * len(half) // self.walks.reps]))
+        self.exact: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        size = np.diff(self.first)
+        for n in range(1, MIN_WORDS):
+            item = np.flatnonzero(size == n)
+            if len(item):
+                code = textops.ngram_hashes(self.symbols, n)[self.first[item]]
+                order = np.argsort(code, kind="stable")
+                self.exact[n] = code[order], item[order]
         self.tables = []
         for r, found in enumerate(starts):
             item = np.array([k for k, _ in found], np.int64)
@@ -134,18 +144,28 @@ class Index:
             out.append(np.stack((doc[at[same]], item[k[same]], at[same] - offset[k[same]]), axis=1))
         return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 3), np.int64)
 
+    def verbatim(self, w: textops.Words) -> list[tuple[int, int]]:
+        """(document, item) of the items below MIN_WORDS."""
+        out = []
+        for n, (code, item) in self.exact.items():
+            grams = textops.ngram_hashes(w.hash, n)
+            whole = w.doc[: len(grams)] == w.doc[n - 1 :] if len(grams) else np.empty(0, bool)
+            grams, doc = grams[whole], w.doc[: len(grams)][whole]
+            lo, hi = np.searchsorted(code, grams, "left"), np.searchsorted(code, grams, "right")
+            k = textops.ragged(lo, hi - lo)
+            out += zip(np.repeat(doc, hi - lo).tolist(), item[k].tolist())
+        return out
+
     def matches(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
         """(document, item, edit distance, words) of the items that each text holds."""
         w = textops.words(texts)
+        best = dict.fromkeys(self.verbatim(w), 0)
         found = self.candidates(w.hash, w.doc, w.first)
-        if not len(found):
-            return []
         d, k, at = found.T
         size = self.first[k + 1] - self.first[k]
         slack = np.ceil(size * self.max_edits).astype(np.int64)
         lo = np.maximum(at - slack, w.first[d])
         hi = np.minimum(at + size + slack, w.first[d + 1])
-        best: dict[tuple[int, int], int] = {}
         for i in range(0, len(d), 512):
             s = slice(i, i + 512)
             dist = distances(self.symbols, self.first[k[s]], size[s], w.hash, lo[s], hi[s] - lo[s])

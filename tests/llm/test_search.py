@@ -78,6 +78,22 @@ def test_benchmark_in_several_slices(spark, monkeypatch):
     assert decon.clean(docs, benchmark).count() == 0
 
 
+def test_short_items_with_an_edit_and_verbatim_ones():
+    rng = random.Random(9)
+    for n in range(decon.MIN_WORDS, 13):
+        items = [rng.sample(VOCABULARY, n) for _ in range(150)]
+        index = decon.Index([(k, " ".join(x)) for k, x in enumerate(items)], decon.MAX_EDITS)
+        docs = []
+        for x in items:
+            at = rng.randrange(n)
+            docs.append(" ".join([*rng.choices(VOCABULARY, k=30), *x[:at], "edited", *x[at + 1 :], *rng.choices(VOCABULARY, k=30)]))
+        found = {(d, k) for d, k, *_ in index.matches(docs)}
+        recall = sum((k, k) in found for k in range(len(items))) / len(items)
+        assert recall >= 0.95, (n, recall)
+    short = decon.Index([(1, "one two"), (2, "a b c d e"), (3, "c"), (4, "one two"), (5, "")], decon.MAX_EDITS)
+    assert [(d, k, z, n) for d, k, z, n in short.matches(["x One, two y", "a b c d", "b", "", "one", "two a b c d e"])] == [(0, 0, 0, 2), (0, 3, 0, 2), (1, 2, 0, 1), (5, 1, 0, 5), (5, 2, 0, 1)]
+
+
 def gram_set(text, n):
     words = text.lower().split()
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)} if words else {("text", text)}
