@@ -240,6 +240,8 @@ def _pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
             met = np.where(level[x] == 0, (own[x] == 1) | ~first, ~(first | second) & (np.maximum(level[x], level[y]) <= k))
             ok = met & (small >= threshold * large - 1e-9)
             k = np.where(level[x] == 0, 1, k)
+            if not ok.any():
+                continue
             x, y, k = x[ok], y[ok], k[ok]
             held.append((sig[x], sig[y], k))  # sorted by signature within a group: x < y
             pending += len(x)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from corpusloom.llm import decon, ngramjoin, substring, textops
 
@@ -138,6 +139,20 @@ def test_jaccard_join_finds_exactly_the_pairs(spark, monkeypatch):
         assert set(got) == set(expected) and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
 
 
+def test_shared_grams_without_any_pair(spark):
+    """Sets of one word against many: a shared n-gram, and sizes too far apart to be a pair."""
+    long = " ".join(VOCABULARY[:300])
+    docs = table(spark, [(1, "w0 w1"), (2, long), (3, "w5 w6 w7"), (4, "w6 w7")])
+    assert ngramjoin.join(docs).pairs.count() == 0 and ngramjoin.one_of_each(docs).count() == 4
+
+
+def test_pairs_of_a_partition_whose_grams_give_none():
+    """One n-gram that sets of 3 and of 300 n-grams share, and one that nobody shares."""
+    rows = [(7, 1, (3 << 16) | (1 << 8) | 1, 5), (7, 2, (300 << 16) | (1 << 8) | 1, 6), (8, 2, (300 << 16) | (1 << 8) | 1, 6)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["gram", "sig", "meta", "block"])
+    assert list(ngramjoin._pairs(iter([batch]), 0.7)) == list(ngramjoin._pairs(iter([batch.slice(0, 0)]), 0.7)) == []
+
+
 def test_one_of_each_group_stays(spark):
     texts = near_corpus(random.Random(10))
     root = list(range(len(texts)))
