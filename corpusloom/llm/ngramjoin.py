@@ -21,18 +21,21 @@ and Feng 2012).
    them in numpy and emit the pairs of each n-gram, summed per partition.  Sets of a
    large group of near copies share all of a long prefix, and every partition would
    emit all of the group's pairs; so each set also has two blocks (its least prefix
-   n-grams by two orders), pairs of a common block are emitted by it alone, once,
-   as candidates, and only other pairs are counted by n-grams.
-3. Pairs with enough matches are verified exactly. Their compressed texts (a bitmap
-   of the candidates' ids, of bounded size, keeps nearly all other documents out of
-   that shuffle) meet in blocks of at most BLOCK sets keyed by a common neighbour,
-   so a text is sent once a block and not once a pair; the sets are computed again
-   where they meet, since n-gram hashes are several times as large as the text.
+   n-grams by two orders).  Sets of one block meet as a whole, without any list of
+   their pairs, and only pairs of no common block are counted by n-grams.
+3. Everything with enough matches is verified exactly.  Compressed texts meet, those
+   of a block together, those of other candidates at a common neighbour, in meetings
+   of at most BLOCK sets and MEETING_GRAMS n-grams (larger ones are cut into slots
+   and every two slots meet, so no pair is lost).  Sets are computed again where they
+   meet, since n-gram hashes are several times as large as the text; a meeting's
+   overlaps are matrix products.
+4. A meeting returns the number of links of each of its sets and a spanning forest,
+   so what leaves it is as large as the meeting and not as its pairs.  Components of
+   the forests are the classes.
 
 Documents with equal sets are one set from the start (the set's 64-bit signature
-and size stand for it), so thousands of copies cost no more pairs than one; the
-result names them as lists: each row says that every document of `docs_a` is
-similar to every other one of `docs_b`.
+and size stand for it), so thousands of copies cost no more than one; each of them
+counts all the others as links.
 
 Defined results: words are case-folded; a text of fewer than n words is one gram
 of all of its words; a text without words is compared as a whole, so equal ones
@@ -53,6 +56,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.dedup import components
 from . import shared, textops
 
 N = 2
@@ -63,8 +67,9 @@ GRAM_CELLS = 1 << 22
 #: Longest extension of a prefix, and what a posting costs against a candidate pair.
 MOST = 4
 POSTING_COST = 1.0
-BLOCK = 4096
-BITMAP_BITS = 1 << 27
+#: Most sets and n-grams of a slot of a meeting.
+BLOCK = 1024
+MEETING_GRAMS = 1 << 22
 
 
 class Frequencies(NamedTuple):
@@ -189,7 +194,7 @@ def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Postings to pairs: all n-grams of a partition at once, sorted in numpy."""
+    """Postings to pairs (a < b, the k they need, the n-grams they share here) and members of blocks (block, set, minus its order, both blocks of the set): all n-grams of a partition at once, sorted in numpy."""
     tables = [b for b in batches if b.num_rows]
     if not tables:
         return
@@ -198,12 +203,22 @@ def _pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
     gram, sig, meta, block = gram[order], sig[order], meta[order], block[order]
     new = np.ones(len(gram), bool)
     new[1:] = (gram[1:] != gram[:-1]) | (sig[1:] != sig[:-1])  # copies of a document post alike
-    gram, sig, meta, block = gram[new], sig[new], meta[new], block[new].view(np.uint64)
+    gram, sig, meta, block = gram[new], sig[new], meta[new], block[new]
     head = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
     count = np.diff(np.concatenate((head, [len(gram)])))
     size, level, own = meta >> 16, (meta >> 8) & 255, meta & 255
     many = count > 1
     head, count = head[many], count[many]
+
+    def batch(a: np.ndarray, b: np.ndarray, k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(k.astype(np.int32)), pa.array(n.astype(np.int64))], names=["a", "b", "k", "n"])
+
+    whole = level[head] == 0
+    at = textops.ragged(head[whole], count[whole])
+    for i in range(0, len(at), 1 << 17):
+        x = at[i : i + (1 << 17)]
+        yield batch(gram[x], sig[x], -own[x], block[x])
+    head, count, block = head[~whole], count[~whole], block.view(np.uint64)
     held: list[tuple[np.ndarray, ...]] = []
     pending = 0
 
@@ -217,7 +232,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
         n = np.diff(np.concatenate((at, [len(a)])))
         for i in range(0, len(at), 1 << 17):
             s = slice(i, i + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(a[at[s]]), pa.array(b[at[s]]), pa.array(k[at[s]].astype(np.int32)), pa.array(n[s].astype(np.int32))], names=["a", "b", "k", "n"])
+            yield batch(a[at[s]], b[at[s]], k[at[s]], n[s])
         held.clear()
 
     # one step of the loop pairs every posting with the d-th one after it in its group
@@ -235,11 +250,8 @@ def _pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
             k = np.minimum(own[x], own[y])
             small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
             apart = block[x] ^ block[y]
-            first, second = apart >> np.uint64(32) == 0, apart & np.uint64(0xFFFFFFFF) == 0
-            # sets of one block are paired by it (by the first if they share both), and by no n-gram
-            met = np.where(level[x] == 0, (own[x] == 1) | ~first, ~(first | second) & (np.maximum(level[x], level[y]) <= k))
-            ok = met & (small >= threshold * large - 1e-9)
-            k = np.where(level[x] == 0, 1, k)
+            met = (apart >> np.uint64(32) == 0) | (apart & np.uint64(0xFFFFFFFF) == 0)  # in their block
+            ok = ~met & (np.maximum(level[x], level[y]) <= k) & (small >= threshold * large - 1e-9)
             if not ok.any():
                 continue
             x, y, k = x[ok], y[ok], k[ok]
@@ -261,11 +273,127 @@ def _inflate(data: bytes) -> str:
     return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True).decode("utf-8", "surrogatepass")
 
 
-def _verify(batches: Iterator[pa.RecordBatch], threshold: float, n: int) -> Iterator[pa.RecordBatch]:
-    """Rows of one block after the other: first its sets (as texts), then its pairs. Small blocks are worked on together."""
+class Meeting:
+    """Sets that meet: of a block (kind 1 or 2, the order of the block), or as explicit pairs (kind 0). `slot` tells the two sides of a meeting of two slots apart."""
+
+    def __init__(self, kind: int, apart: bool) -> None:
+        self.kind, self.apart = kind, apart
+        self.sigs: list[int] = []
+        self.slots: list[int] = []
+        self.blocks: list[int] = []
+        self.copies: list[int] = []
+        self.pairs: list[tuple[int, int]] = []
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Common elements of every two sets, as matrix products over slices of their elements."""
+    m, size = len(sets), np.array(list(map(len, sets)))
+    if m == 2:
+        common = len(np.intersect1d(*sets, assume_unique=True))
+        return np.array([[size[0], common], [common, size[1]]], np.float32)
+    of = np.repeat(np.arange(m), size)
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    values, of = values[order], of[order]
+    new = np.concatenate(([True], values[1:] != values[:-1])) if len(values) else np.empty(0, bool)
+    number = np.cumsum(new) - 1
+    often = np.bincount(number)[number] > 1 if len(number) else new  # what one set alone holds adds nothing
+    number, of = number[often], of[often]
+    number = np.cumsum(np.concatenate(([0], (number[1:] != number[:-1]).astype(np.int64)))) if len(number) else number
+    out = np.zeros((m, m), np.float32)
+    distinct = int(number[-1]) + 1 if len(number) else 0
+    width = max(1, min(distinct, (1 << 23) // m))
+    edges = np.searchsorted(number, np.arange(0, distinct + width, width))
+    for i, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+        if x < y:
+            part = np.zeros((m, width), np.float32)
+            part[of[x:y], number[x:y] - i * width] = 1
+            out += part @ part.T
+    return out
+
+
+def _close(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Jaccard similarities of every two sets, 0 where they are below the threshold."""
+    size = np.array(list(map(len, sets)), np.float64)
+    common = overlaps(sets).astype(np.float64)
+    j = common / np.maximum(size[:, None] + size[None, :] - common, 1)
+    j[j < threshold - 1e-12] = 0
+    np.fill_diagonal(j, 0)
+    return j
+
+
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (least member, member) of the components of an adjacency matrix."""
+    left, out = near.any(axis=1), []
+    for i in range(len(near)):
+        if left[i]:
+            reached, new = np.zeros(len(near), bool), np.zeros(len(near), bool)
+            new[i] = True
+            while new.any():
+                reached |= new
+                new = near[new].any(axis=0) & ~reached
+            left &= ~reached
+            out += [(i, k) for k in np.flatnonzero(reached).tolist() if k != i]
+    return out
+
+
+_MET = "hub long, i int, j int, kind int, a long, b long, slot int, blocks long, copies long, body binary"
+_FOUND = "a long, b long, links long, jaccard double"
+
+
+def _verify(batches: Iterator[pa.RecordBatch], threshold: float, n: int, listed: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of one meeting after the other: first its sets (as texts), then its pairs, if it has any. Small meetings are worked on together.
+
+    With `listed` all pairs (a, b, jaccard); else the links of each set (a, links) and the edges of a spanning forest (a, b).
+    """
     bodies: dict[int, bytes] = {}
-    pairs: list[tuple[int, int]] = []
-    size, block = 0, None
+    meetings: list[Meeting] = []
+    size, key = 0, None
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["a", "b", "links", "jaccard"])
+
+    def of(m: Meeting, sets: dict[int, np.ndarray]) -> list[tuple]:
+        if m.kind == 0:
+            number = {x: k for k, x in enumerate(m.sigs)}
+            found = []
+            for a, b in m.pairs:
+                x, y = sorted((sets[a], sets[b]), key=len)
+                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                j = common / (len(x) + len(y) - common)
+                if j >= threshold - 1e-12:
+                    found.append((number[a], number[b], j))
+            if listed:
+                return [(*sorted((m.sigs[x], m.sigs[y])), None, j) for x, y, j in found]
+            links, root = [0] * len(m.sigs), list(range(len(m.sigs)))
+
+            def top(x: int) -> int:
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            edges = []
+            for x, y, _ in found:
+                links[x] += m.copies[y]
+                links[y] += m.copies[x]
+                if (p := top(x)) != (q := top(y)):
+                    root[q] = p
+                    edges.append((x, y))
+        else:
+            j = _close([sets[x] for x in m.sigs], threshold)
+            block, slot = np.array(m.blocks, np.int64).view(np.uint64), np.array(m.slots)
+            if m.kind == 2:
+                one = block >> np.uint64(32)
+                j[one[:, None] == one[None, :]] = 0  # they met in the other block
+            if m.apart:
+                j[slot[:, None] == slot[None, :]] = 0
+            if listed:
+                x, y = np.nonzero(np.triu(j))
+                return [(*sorted((m.sigs[p], m.sigs[q])), None, j[p, q]) for p, q in zip(x.tolist(), y.tolist())]
+            links = ((j > 0) @ np.array(m.copies, np.float64)).astype(np.int64).tolist()
+            edges = _forest(j > 0)
+        return [(m.sigs[k], None, x, None) for k, x in enumerate(links) if x] + [(*sorted((m.sigs[x], m.sigs[y])), None, None) for x, y in edges]
 
     def flush() -> Iterator[pa.RecordBatch]:
         sigs, sets = list(bodies), {}
@@ -273,51 +401,54 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float, n: int) -> Iter
         for i, j in textops.chunks(texts):
             grams, first, _ = gram_sets(texts[i:j], n)
             sets.update(zip(sigs[i:j], (grams[x:y] for x, y in zip(first[:-1].tolist(), first[1:].tolist()))))
-        out = []
-        for a, b in pairs:
-            x, y = sets[a], sets[b]
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            j = common / (len(x) + len(y) - common)
-            if j >= threshold - 1e-12:
-                out.append((a, b, j))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(list(v)) for v in zip(*out)], names=["a", "b", "jaccard"])
+        rows: list[tuple] = []
+        for m in meetings:
+            rows += of(m, sets)
+            if len(rows) > 1 << 16:
+                yield batch(rows)
+                rows = []
+        if rows:
+            yield batch(rows)
         bodies.clear()
-        pairs.clear()
+        meetings.clear()
 
-    for batch in batches:
-        keys = zip(*(batch.column(k).to_pylist() for k in range(3)))
-        for key, a, b, body in zip(keys, *(batch.column(k).to_pylist() for k in (3, 4, 5))):
-            if key != block:
+    for b in batches:
+        for hub, i, j, kind, x, y, slot, blocks, copies, body in zip(*(c.to_pylist() for c in b.columns)):
+            if (hub, i, j, kind) != key:
                 if size > textops.CHUNK_CHARS:
                     yield from flush()
                     size = 0
-                block = key
-            if b is None:
-                bodies[a] = body
+                key = (hub, i, j, kind)
+                meetings.append(Meeting(kind, i != j))
+            m = meetings[-1]
+            if y is not None:
+                m.pairs.append((x, y))
+                continue
+            m.sigs.append(x)
+            m.slots.append(slot)
+            m.blocks.append(blocks)
+            m.copies.append(copies)
+            if x not in bodies:
+                bodies[x] = body
                 size += int.from_bytes(body[:8], "little")
-            else:
-                pairs.append((a, b))
     yield from flush()
 
 
 class Joined:
-    """The join's tables: `docs` (doc_id, sig, n) and `pairs` (a, b, jaccard) of signatures with a < b."""
+    """The join's tables: `docs` (doc_id, sig, n), `sets` (sig, doc_id of the least document, copies) of all sets, and `found`: what _verify() returns of signatures with a < b."""
 
-    def __init__(self, docs: DataFrame, pairs: DataFrame) -> None:
-        self.docs, self.pairs = docs, pairs
+    def __init__(self, docs: DataFrame, sets: DataFrame, found: DataFrame) -> None:
+        self.docs, self.sets, self.found = docs, sets, found
 
 
-def join(documents: DataFrame, threshold: float = THRESHOLD, n: int = N) -> Joined:
+def join(documents: DataFrame, threshold: float = THRESHOLD, n: int = N, listed: bool = False) -> Joined:
     spark = documents.sparkSession
     texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     scanned = shared.save(texts.mapInArrow(lambda it: _scan(it, n), _SCAN), "signatures")
     docs = scanned.where("part is null").select("doc_id", "sig", "n").distinct()
+    sets = shared.save(docs.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n").alias("n")), "sets")
     table = np.zeros(WORD_CELLS + GRAM_CELLS, np.float32)
-    for row in scanned.where("part is not null").select("part", "counts").repartition("part").mapInArrow(_sum_parts, "part int, counts binary").toLocalIterator():
+    for row in scanned.where("part is not null").select("part", "counts").repartition("part").mapInArrow(_sum_parts, "part int, counts binary").collect():  # of fixed size
         table[row.part * _PART : (row.part + 1) * _PART] = np.frombuffer(zlib.decompress(row.counts), np.float32)
     words, cells = table[:WORD_CELLS], table[WORD_CELLS:]
     middle = float(np.median(cells))
@@ -341,74 +472,76 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, n: int = N) -> Join
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     postings = texts.mapInArrow(post, "gram long, sig long, meta long, block long").repartition(parts, "gram")
-    matched = postings.mapInArrow(lambda it: _pairs(it, threshold), "a long, b long, k int, n int").groupBy("a", "b", "k").agg(F.sum("n").alias("n")).where("n >= k").select("a", "b")
-    candidates = shared.save(matched, "candidates")
+    matched = postings.mapInArrow(lambda it: _pairs(it, threshold), "a long, b long, k int, n long").groupBy("a", "b", "k").agg(F.sum("n").alias("n")).where("k < 0 or n >= k")
+    matched = shared.save(matched, "candidates")
+    candidates = matched.where("k > 0").select("a", "b")
+
+    # blocks too large for one meeting are cut into slots, and every two slots meet
+    members = matched.where("k < 0").select(F.col("a").alias("hub"), F.col("b").alias("a"), (-F.col("k")).alias("kind"), F.col("n").alias("blocks")).join(sets.select(F.col("sig").alias("a"), "doc_id", "n", "copies"), "a")
+    large = members.groupBy("hub", "kind").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(MEETING_GRAMS))).cast("int").alias("cuts")).where("cuts > 1")
+    slotted = members.join(large, ["hub", "kind"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1))).withColumn("slot", F.pmod(F.xxhash64("a"), "cuts").cast("int"))
+    at_blocks = slotted.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select("hub", F.least("slot", "t").alias("i"), F.greatest("slot", "t").alias("j"), "kind", "a", "doc_id", "slot", "blocks", "copies")
 
-    # one document of each candidate set gives its n-grams
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    givers = shared.save(docs.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "givers")
-    marks = np.zeros(BITMAP_BITS // 8, np.uint8)
-    for row in givers.select((F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))).alias("bit")).mapInArrow(shared.packed, "bits binary").toLocalIterator():
-        np.bitwise_or.at(marks, (bits := np.frombuffer(row.bits, np.int64)) >> 3, np.left_shift(1, bits & 7).astype(np.uint8))
-    bitmap = spark.sparkContext.broadcast(shared.squeeze(marks))
+    # other candidates meet at the least candidate neighbour of their first set
+    near = candidates.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(candidates.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    hub = near.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("hub"))
+    at_hub = candidates.join(hub, candidates.a == hub.x).select("hub", "a", "b")
+    sizes = at_hub.select("hub", F.explode(F.array("a", "b")).alias("sig")).distinct().groupBy("hub").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("cuts"))
+    placed = at_hub.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("a"), "cuts").cast("int").alias("i"), F.pmod(F.xxhash64("b"), "cuts").cast("int").alias("j"), "a", "b")
+    placed = shared.save(placed, "placed")
+    at_pairs = placed.select("hub", "i", "j", F.explode(F.array("a", "b")).alias("a")).distinct().join(sets.select(F.col("sig").alias("a"), "doc_id", "copies"), "a")
+    uses = shared.save(at_blocks.unionByName(at_pairs.withColumn("kind", F.lit(0)).withColumn("slot", F.lit(0)).withColumn("blocks", F.lit(0).cast("long"))), "uses")
 
+    # the least document of each set that meets others gives its text
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = shared.unsqueeze(bitmap.value)
         for b in batches:
-            bit = b.column(2).to_numpy()
-            b = b.filter(pa.array((mark[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
             text = b.column(1).to_pylist()
             for i, j in textops.chunks(text):
                 grams, first, _ = gram_sets(text[i:j], n)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(signatures(grams, first)), pa.array(map(_deflate, text[i:j]), pa.binary())], names=["doc_id", "sig", "body"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(signatures(grams, first)), pa.array(map(_deflate, text[i:j]), pa.binary())], names=["doc_id", "a", "body"])
 
-    given = texts.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))).mapInArrow(give, "doc_id long, sig long, body binary")
+    wanted, _ = shared.parted(texts, "doc_id", shared.bitmap(uses, "doc_id"))
+    given = wanted.mapInArrow(give, "doc_id long, a long, body binary").dropDuplicates(["doc_id", "a"])
+    columns = [x.split()[0] for x in _MET.split(", ")]
+    sent = given.join(uses, ["doc_id", "a"]).withColumn("b", F.lit(None).cast("long")).select(columns)
+    null = lambda kind: F.lit(None).cast(kind)
+    pairs = placed.withColumns({"kind": F.lit(0), "slot": null("int"), "blocks": null("long"), "copies": null("long"), "body": null("binary")}).select(columns)
+    ordered = sent.unionByName(pairs).repartition(parts, "hub", "i", "j", "kind").sortWithinPartitions("hub", "i", "j", "kind", F.col("b").asc_nulls_first())
+    return Joined(docs, sets, shared.save(ordered.mapInArrow(lambda it: _verify(it, threshold, n, listed), _FOUND), "found"))
 
-    # pairs meet at the least candidate neighbour of their first set; large meetings are cut into blocks by hash
-    near = candidates.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(candidates.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    hub = near.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("hub"))
-    at_hub = candidates.join(hub, candidates.a == hub.x).select("hub", "a", "b")
-    sizes = at_hub.select("hub", F.explode(F.array("a", "b")).alias("sig")).distinct().groupBy("hub").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("cuts"))
-    placed = at_hub.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("a"), "cuts").alias("i"), F.pmod(F.xxhash64("b"), "cuts").alias("j"), "a", "b")
-    placed = shared.save(placed, "placed")
-    uses = placed.select("hub", "i", "j", F.explode(F.array("a", "b")).alias("sig")).distinct().join(givers, "sig")
-    sent = given.join(uses, ["doc_id", "sig"]).select("hub", "i", "j", F.col("sig").alias("a"), F.lit(None).cast("long").alias("b"), "body")
-    both = sent.unionByName(placed.withColumn("body", F.lit(None).cast("binary")))
-    ordered = both.repartition(parts, "hub", "i", "j").sortWithinPartitions("hub", "i", "j", F.col("b").asc_nulls_first())
-    pairs = ordered.select("hub", "i", "j", "a", "b", "body").mapInArrow(lambda it: _verify(it, threshold, n), "a long, b long, jaccard double")
-    return Joined(docs, pairs)
+
+def similar_sets(documents: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
+    """doc_a, doc_b, jaccard: every similar pair of different sets, each set by its least document. Its size is that of the pairs; similar() is linear."""
+    found = join(documents, threshold, n, listed=True)
+    first, second = (found.sets.select(F.col("sig").alias(k), F.col("doc_id").alias(f"doc_{k}")) for k in "ab")
+    return found.found.join(first, "a").join(second, "b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard")
+
+
+def _classes(found: Joined) -> DataFrame:
+    """sig and root, the least document of all sets that hang together, of sets that have a link to another set."""
+    roots = shared.save(components(found.found.where("b is not null")), "components")
+    least = roots.join(found.sets.select(F.col("sig").alias("node"), "doc_id"), "node")
+    return roots.join(least.groupBy("root").agg(F.min("doc_id").alias("least")), "root").select(F.col("node").alias("sig"), F.col("least").alias("root"))
 
 
 def similar(documents: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
-    """docs_a, docs_b, jaccard: each document of docs_a is similar to each other one of docs_b. Equal sets are a row whose lists are the same."""
+    """doc_id, class_id, n_copies, n_links of every document: the least document that similarity connects it with, and how many other documents have an equal set, and a similar one (copies included)."""
     found = join(documents, threshold, n)
-    lists = found.docs.groupBy("sig").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))
-    copies = lists.where(F.size("ids") > 1).select(F.col("ids").alias("docs_a"), F.col("ids").alias("docs_b"), F.lit(1.0).alias("jaccard"))
-    first, second = (lists.select(F.col("sig").alias(k), F.col("ids").alias(f"docs_{k}")) for k in "ab")
-    return found.pairs.join(first, "a").join(second, "b").select("docs_a", "docs_b", "jaccard").unionByName(copies)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node and root (the least node that it hangs together with) of an edge table (a, b): least neighbours, then pointer jumping, until nothing changes."""
-    spark = edges.sparkSession
-    both = shared.save(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    roots = shared.save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "roots")
-    while True:
-        offered = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = roots.join(offered, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
-        hop = step.alias("s").join(step.select(F.col("node").alias("via"), F.col("root").alias("far")).alias("h"), F.col("s.root") == F.col("h.via"), "left")
-        new = shared.save(hop.select("node", F.least("root", F.coalesce("far", "root")).alias("root"), "was"), "roots")
-        roots = new.select("node", "root")
-        if new.where("root <> was").isEmpty():
-            return roots
+    links = found.found.where("b is null").groupBy(F.col("a").alias("sig")).agg(F.sum("links").alias("links"))
+    sets = found.sets.select("sig", F.col("doc_id").alias("least"), "copies").join(_classes(found), "sig", "left").join(links, "sig", "left")
+    others = F.col("copies") - 1
+    sets = sets.select("sig", F.coalesce("root", "least").alias("class_id"), others.alias("n_copies"), (others + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return found.docs.select("doc_id", "sig").join(sets, "sig").select("doc_id", "class_id", "n_copies", "n_links")
 
 
 def one_of_each(documents: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
-    """The rows, with all their columns, of one document (the least id) of each group that similarity holds together; rows of null ids or texts stay."""
+    """The rows, with all their columns, of one document (the least id) of each group that similarity holds together; rows of null ids or texts stay.
+
+    An id with several texts goes if any of them belongs to a group of a smaller id.
+    """
     found = join(documents, threshold, n)
-    least = shared.save(found.docs.groupBy("sig").agg(F.min("doc_id").alias("id")), "sets")
-    first, second = (least.select(F.col("sig").alias(k), F.col("id").alias(f"id_{k}")) for k in "ab")
-    sets = found.pairs.select("a", "b").join(first, "a").join(second, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    copies = found.docs.join(least, "sig").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    roots = components(sets.unionByName(copies))
-    return documents.join(roots.where("node <> root").select(F.col("node").alias("doc_id")), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in documents.columns))
+    sets = found.sets.select("sig", F.col("doc_id").alias("least")).join(_classes(found), "sig", "left").select("sig", F.coalesce("root", "least").alias("root"))
+    gone = shared.save(found.docs.join(sets, "sig").where("doc_id <> root").select("doc_id").distinct(), "gone")
+    # only rows that may go are shuffled
+    near, rest = shared.parted(documents, "doc_id", shared.bitmap(gone, "doc_id"))
+    return near.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in documents.columns)).unionByName(rest)

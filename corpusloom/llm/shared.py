@@ -5,10 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession, what: str) -> str:
@@ -37,16 +41,75 @@ def filtered(docs: DataFrame, run) -> DataFrame:
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
-def packed(batches):
-    """mapInArrow: the batch's one integer column as a binary value."""
-    for b in batches:
-        if b.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().astype(np.int64).tobytes()])], names=["bits"])
+#: Bits of a bitmap of ids, by the number of ids; the most is what is broadcast and sent to the driver at worst, 64 MB.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 29
+_BLOCK_BITS = 1 << 20
 
 
-def squeeze(marks: np.ndarray) -> bytes:
-    return zlib.compress(marks.tobytes(), 1)
+class Bitmap(NamedTuple):
+    """Which ids a table holds, with false hits that a join removes. Beyond MOST_BITS / BITS_EACH ids it lets more through, and rows are shuffled that needn't be."""
 
+    bits: int
+    data: Broadcast
 
-def unsqueeze(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), np.uint8)
+    def column(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(self.bits))
+
+    def load(self) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(self.data.value), np.uint8)
+
+
+def bitmap(rows: DataFrame, key: str) -> Bitmap:
+    """The ids of a saved table. Executors mark and merge the bits; the driver sees the finished blocks alone."""
+    spark = rows.sparkSession
+    bits = LEAST_BITS
+    count = rows.count()
+    while bits < min(MOST_BITS, count * BITS_EACH):
+        bits *= 2
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = b.column(0).to_numpy()
+            order = np.sort(at)
+            for k in np.unique(order // _BLOCK_BITS).tolist():
+                own = order[np.searchsorted(order, k * _BLOCK_BITS) : np.searchsorted(order, (k + 1) * _BLOCK_BITS)] - k * _BLOCK_BITS
+                np.bitwise_or.at(blocks.setdefault(k, np.zeros(_BLOCK_BITS // 8, np.uint8)), own >> 3, np.left_shift(1, own & 7).astype(np.uint8))
+        for k, x in blocks.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([zlib.compress(x.tobytes(), 1)])], names=["block", "marks"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = np.frombuffer(zlib.decompress(raw), np.uint8)
+                blocks[k] = blocks[k] | x if k in blocks else x
+        for k, x in blocks.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([zlib.compress(x.tobytes(), 1)])], names=["block", "marks"])
+
+    schema = "block long, marks binary"
+    marks = np.zeros(bits // 8, np.uint8)
+    placed = rows.select(F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(bits)).alias("bit"))
+    for block, raw in placed.mapInArrow(mark, schema).repartition("block").mapInArrow(merge, schema).collect():
+        marks[block * _BLOCK_BITS // 8 : (block + 1) * _BLOCK_BITS // 8] = np.frombuffer(zlib.decompress(raw), np.uint8)
+    return Bitmap(bits, spark.sparkContext.broadcast(zlib.compress(marks.tobytes(), 1)))
+
+
+def parted(df: DataFrame, key: str, marks: Bitmap) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be marked, and all others (those of null keys among them), each with all columns."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    at = f"c{df.columns.index(key)}"
+
+    def side(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mark = marks.load()
+            for b in batches:
+                if b.num_rows:
+                    bit, known = b.column(b.num_columns - 1).to_numpy(), b.column(b.num_columns - 2).to_numpy(zero_copy_only=False)
+                    hit = ((mark[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1) & known
+                    b = b.filter(pa.array(hit == wanted))
+                yield pa.RecordBatch.from_arrays(b.columns[:-2], schema=pa.schema(list(b.schema)[:-2]))
+
+        return plain.withColumn("known", F.col(at).isNotNull()).withColumn("bit", marks.column(at)).mapInArrow(run, plain.schema).toDF(*df.columns)
+
+    return side(True), side(False)

@@ -128,22 +128,43 @@ def test_jaccard_join_finds_exactly_the_pairs(spark, monkeypatch):
     texts = near_corpus(random.Random(9))
     expected = brute_pairs(texts)
     docs = table(spark, [*enumerate(texts), (None, texts[0]), (900, None), (0, texts[0])])
+    sets = [gram_set(t, ngramjoin.N) for t in texts]
+    least = [sets.index(x) for x in sets]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in expected:
+        a, b = sorted((top(i), top(j)))
+        root[b] = a
     for block in (ngramjoin.BLOCK, 3):
         monkeypatch.setattr(ngramjoin, "BLOCK", block)
-        got = {}
-        for r in ngramjoin.similar(docs).collect():
-            for a in r.docs_a:
-                for b in r.docs_b:
-                    if a != b:
-                        got[min(a, b), max(a, b)] = r.jaccard
-        assert set(got) == set(expected) and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+        pairs = [tuple(r) for r in ngramjoin.similar_sets(docs).collect()]
+        got = {(a, b): j for a, b, j in pairs}
+        want = {(i, j): v for (i, j), v in expected.items() if least[i] == i and least[j] == j}
+        assert len(pairs) == len(got) and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+        rows = {r.doc_id: tuple(r)[1:] for r in ngramjoin.similar(docs).collect()}
+        assert rows == {i: (top(i), least.count(least[i]) - 1, sum(i in k for k in expected)) for i in range(len(texts))}
+
+
+def test_overlaps_equal_plain_intersections(monkeypatch):
+    rng = np.random.default_rng(3)
+    for m in (1, 2, 3, 40):
+        sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200))) for _ in range(m)]
+        assert ngramjoin.overlaps(sets)[~np.eye(m, dtype=bool)].tolist() == [len(np.intersect1d(x, y)) for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j]
+    near = np.zeros((6, 6), bool)
+    near[0, 3] = near[3, 0] = near[3, 5] = near[5, 3] = near[1, 2] = near[2, 1] = True
+    assert ngramjoin._forest(near) == [(0, 3), (0, 5), (1, 2)]
 
 
 def test_shared_grams_without_any_pair(spark):
     """Sets of one word against many: a shared n-gram, and sizes too far apart to be a pair."""
     long = " ".join(VOCABULARY[:300])
     docs = table(spark, [(1, "w0 w1"), (2, long), (3, "w5 w6 w7"), (4, "w6 w7")])
-    assert ngramjoin.join(docs).pairs.count() == 0 and ngramjoin.one_of_each(docs).count() == 4
+    assert ngramjoin.similar_sets(docs).count() == 0 and ngramjoin.one_of_each(docs).count() == 4
 
 
 def test_pairs_of_a_partition_whose_grams_give_none():
@@ -169,7 +190,7 @@ def test_one_of_each_group_stays(spark):
     kept = ngramjoin.one_of_each(docs)
     assert kept.dtypes == docs.dtypes
     assert {r.doc_id for r in kept.collect()} == {i for i in range(len(texts)) if top(i) == i} | {None, 900}
-    assert ngramjoin.one_of_each(docs.limit(0)).count() == ngramjoin.similar(docs.limit(0)).count() == 0
+    assert ngramjoin.one_of_each(docs.limit(0)).count() == ngramjoin.similar(docs.limit(0)).count() == ngramjoin.similar_sets(docs.limit(0)).count() == 0
     assert ngramjoin.one_of_each(docs.where("doc_id = 0")).count() == 1
 
 
