@@ -17,19 +17,21 @@ and Feng 2012).
    cell holds beyond chance, if that is more (as for the n-grams of boilerplate,
    whose share of the corpus doesn't shrink as it grows).  It orders n-grams and
    estimates candidates; collisions affect cost and never the result.
-2. Postings (n-gram, set, position level) are shuffled by n-gram; partitions sort
-   them in numpy and emit the pairs of each n-gram, summed per partition.  Sets of a
-   large group of near copies share all of a long prefix, and every partition would
-   emit all of the group's pairs; so each set also has two blocks (its least prefix
-   n-grams by two orders).  Sets of one block meet as a whole, without any list of
-   their pairs, and only pairs of no common block are counted by n-grams.
-3. Everything with enough matches is verified exactly.  Compressed texts meet, those
-   of a block together, those of other candidates at a common neighbour, in meetings
+2. Clusters: sets of a large group of near copies share all of a long prefix, and all
+   of their pairs would be emitted once for each n-gram of it.  So sets that share a
+   least n-gram (by one of three orders) are held against the first of them, and what
+   is similar to it by chains forms a cluster.  A cluster meets as a whole, without any
+   list of its pairs.
+3. Postings (n-gram, set, position level, cluster) are shuffled by n-gram; partitions
+   sort them in numpy and emit the pairs of each n-gram that lie in no common cluster,
+   summed per partition.
+4. Everything with enough matches is verified exactly.  Compressed texts meet, those
+   of a cluster together, those of other candidates at a common neighbour, in meetings
    of at most BLOCK sets and MEETING_GRAMS n-grams (larger ones are cut into slots
    and every two slots meet, so no pair is lost).  Sets are computed again where they
-   meet, since n-gram hashes are several times as large as the text; a meeting's
+   meet, since n-gram hashes are several times as large as the text; a cluster's
    overlaps are matrix products.
-4. A meeting returns the number of links of each of its sets and a spanning forest,
+5. A meeting returns the number of links of each of its sets and a spanning forest,
    so what leaves it is as large as the meeting and not as its pairs.  Components of
    the forests are the classes.
 
@@ -53,7 +55,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.dedup import components
@@ -70,6 +72,8 @@ POSTING_COST = 1.0
 #: Most sets and n-grams of a slot of a meeting.
 BLOCK = 1024
 MEETING_GRAMS = 1 << 22
+#: No cluster.
+NONE = -(1 << 63)
 
 
 class Frequencies(NamedTuple):
@@ -149,23 +153,21 @@ def prefixes(grams: np.ndarray, first: np.ndarray, expected: np.ndarray, thresho
     return doc[keep], g[keep], level[keep], own
 
 
-_SEEDS = (np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6BC2B2AE35))
+_SEEDS = tuple(np.uint64(x) for x in (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35, 0xC2B2AE3D27D4EB4F))
 
 
-def blocks(doc: np.ndarray, grams: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 32-bit blocks of each set: hashes of the least n-gram of its shortest prefix by two orders. Sets that are nearly equal nearly always share one."""
-    doc, x = doc[level == 1], grams[level == 1].view(np.uint64)
-    head = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.empty(0, np.int64)
-    a, b = (textops.mix(np.minimum.reduceat(textops.mix(x ^ s), head)) >> np.uint64(32) if len(x) else x for s in _SEEDS)
-    return a, b
+def blocks(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Three blocks of each set: its least n-gram by three orders. Two sets share one with the probability of their similarity."""
+    x = grams.view(np.uint64)
+    return np.stack([textops.mix(np.minimum.reduceat(textops.mix(x ^ s), first[:-1]) + s) if len(x) else x for s in _SEEDS], axis=1).view(np.int64)
 
 
-_SCAN = "doc_id long, sig long, n int, part int, counts binary"
+_SCAN = "doc_id long, sig long, n int, blocks array<long>, part int, counts binary"
 _PART = 1 << 16
 
 
 def _scan(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Signatures of the documents, then the partition's frequency table in compressed parts."""
+    """Signatures and blocks of the documents, then the partition's frequency table in compressed parts."""
     table = np.zeros(WORD_CELLS + GRAM_CELLS, np.int32)
     names = [x.split()[0] for x in _SCAN.split(", ")]
     for b in batches:
@@ -176,11 +178,12 @@ def _scan(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
                 at, count = np.unique(cell(hashes, cells), return_counts=True)
                 table[base + at] += count.astype(np.int32)
             m = j - i
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, m), pa.array(signatures(grams, first)), pa.array(np.diff(first).astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+            own = pa.ListArray.from_arrays(np.arange(0, 3 * m + 1, 3, dtype=np.int32), pa.array(blocks(grams, first).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, m), pa.array(signatures(grams, first)), pa.array(np.diff(first).astype(np.int32)), own, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
     for k in range(0, len(table), _PART):
         if table[k : k + _PART].any():
             raw = zlib.compress(table[k : k + _PART].tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([k // _PART], pa.int32()), pa.array([raw])], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))), pa.array([k // _PART], pa.int32()), pa.array([raw])], names=names)
 
 
 def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,31 +197,22 @@ def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Postings to pairs (a < b, the k they need, the n-grams they share here) and members of blocks (block, set, minus its order, both blocks of the set): all n-grams of a partition at once, sorted in numpy."""
+    """Postings to pairs of no common cluster (a < b, the k they need, the n-grams they share here): all n-grams of a partition at once, sorted in numpy."""
     tables = [b for b in batches if b.num_rows]
     if not tables:
         return
-    gram, sig, meta, block = (np.concatenate([b.column(k).to_numpy() for b in tables]) for k in range(4))
-    order = np.lexsort((meta, sig, gram))
-    gram, sig, meta, block = gram[order], sig[order], meta[order], block[order]
-    new = np.ones(len(gram), bool)
-    new[1:] = (gram[1:] != gram[:-1]) | (sig[1:] != sig[:-1])  # copies of a document post alike
-    gram, sig, meta, block = gram[new], sig[new], meta[new], block[new]
+    gram, sig, meta, cluster = (np.concatenate([b.column(k).to_numpy() for b in tables]) for k in range(4))
+    del tables
+    order = np.lexsort((sig, gram))
+    new = np.ones(len(order), bool)
+    new[1:] = (gram[order[1:]] != gram[order[:-1]]) | (sig[order[1:]] != sig[order[:-1]])  # copies of a document post alike
+    order = order[new]
+    gram, sig, meta, cluster = gram[order], sig[order], meta[order], cluster[order]
     head = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
     count = np.diff(np.concatenate((head, [len(gram)])))
     size, level, own = meta >> 16, (meta >> 8) & 255, meta & 255
     many = count > 1
     head, count = head[many], count[many]
-
-    def batch(a: np.ndarray, b: np.ndarray, k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(k.astype(np.int32)), pa.array(n.astype(np.int64))], names=["a", "b", "k", "n"])
-
-    whole = level[head] == 0
-    at = textops.ragged(head[whole], count[whole])
-    for i in range(0, len(at), 1 << 17):
-        x = at[i : i + (1 << 17)]
-        yield batch(gram[x], sig[x], -own[x], block[x])
-    head, count, block = head[~whole], count[~whole], block.view(np.uint64)
     held: list[tuple[np.ndarray, ...]] = []
     pending = 0
 
@@ -232,7 +226,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
         n = np.diff(np.concatenate((at, [len(a)])))
         for i in range(0, len(at), 1 << 17):
             s = slice(i, i + (1 << 17))
-            yield batch(a[at[s]], b[at[s]], k[at[s]], n[s])
+            yield pa.RecordBatch.from_arrays([pa.array(a[at[s]]), pa.array(b[at[s]]), pa.array(k[at[s]].astype(np.int32)), pa.array(n[s].astype(np.int32))], names=["a", "b", "k", "n"])
         held.clear()
 
     # one step of the loop pairs every posting with the d-th one after it in its group
@@ -244,20 +238,19 @@ def _pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
         member, end = member[alive], end[alive]
         if not len(member):
             break
-        for i in range(0, len(member), 1 << 20):
-            x = member[i : i + (1 << 20)]
+        for i in range(0, len(member), 1 << 18):
+            x = member[i : i + (1 << 18)]
             y = x + d
             k = np.minimum(own[x], own[y])
             small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-            apart = block[x] ^ block[y]
-            met = (apart >> np.uint64(32) == 0) | (apart & np.uint64(0xFFFFFFFF) == 0)  # in their block
+            met = (cluster[x] == cluster[y]) & (cluster[x] != NONE)
             ok = ~met & (np.maximum(level[x], level[y]) <= k) & (small >= threshold * large - 1e-9)
             if not ok.any():
                 continue
             x, y, k = x[ok], y[ok], k[ok]
             held.append((sig[x], sig[y], k))  # sorted by signature within a group: x < y
             pending += len(x)
-            if pending > 1 << 21:
+            if pending > 1 << 19:
                 yield from flush()
                 pending = 0
         d += 1
@@ -274,13 +267,12 @@ def _inflate(data: bytes) -> str:
 
 
 class Meeting:
-    """Sets that meet: of a block (kind 1 or 2, the order of the block), or as explicit pairs (kind 0). `slot` tells the two sides of a meeting of two slots apart."""
+    """Sets that meet: as a whole, or as explicit pairs. `slot` tells the two sides of a meeting of two slots apart."""
 
-    def __init__(self, kind: int, apart: bool) -> None:
-        self.kind, self.apart = kind, apart
+    def __init__(self, whole: bool, apart: bool) -> None:
+        self.whole, self.apart = whole, apart
         self.sigs: list[int] = []
         self.slots: list[int] = []
-        self.blocks: list[int] = []
         self.copies: list[int] = []
         self.pairs: list[tuple[int, int]] = []
 
@@ -337,7 +329,7 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-_MET = "hub long, i int, j int, kind int, a long, b long, slot int, blocks long, copies long, body binary"
+_MET = "hub long, i int, j int, whole boolean, a long, b long, slot int, copies long, body binary"
 _FOUND = "a long, b long, links long, jaccard double"
 
 
@@ -349,13 +341,14 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float, n: int, listed:
     bodies: dict[int, bytes] = {}
     meetings: list[Meeting] = []
     size, key = 0, None
+    there: set[int] = set()
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["a", "b", "links", "jaccard"])
 
     def of(m: Meeting, sets: dict[int, np.ndarray]) -> list[tuple]:
-        if m.kind == 0:
+        if not m.whole:
             number = {x: k for k, x in enumerate(m.sigs)}
             found = []
             for a, b in m.pairs:
@@ -382,10 +375,7 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float, n: int, listed:
                     edges.append((x, y))
         else:
             j = _close([sets[x] for x in m.sigs], threshold)
-            block, slot = np.array(m.blocks, np.int64).view(np.uint64), np.array(m.slots)
-            if m.kind == 2:
-                one = block >> np.uint64(32)
-                j[one[:, None] == one[None, :]] = 0  # they met in the other block
+            slot = np.array(m.slots)
             if m.apart:
                 j[slot[:, None] == slot[None, :]] = 0
             if listed:
@@ -413,20 +403,23 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float, n: int, listed:
         meetings.clear()
 
     for b in batches:
-        for hub, i, j, kind, x, y, slot, blocks, copies, body in zip(*(c.to_pylist() for c in b.columns)):
-            if (hub, i, j, kind) != key:
+        for hub, i, j, whole, x, y, slot, copies, body in zip(*(c.to_pylist() for c in b.columns)):
+            if (hub, i, j, whole) != key:
                 if size > textops.CHUNK_CHARS:
                     yield from flush()
                     size = 0
-                key = (hub, i, j, kind)
-                meetings.append(Meeting(kind, i != j))
+                key = (hub, i, j, whole)
+                meetings.append(Meeting(whole, i != j))
+                there = set()
             m = meetings[-1]
             if y is not None:
                 m.pairs.append((x, y))
                 continue
+            if x in there:
+                continue  # a repeated row
+            there.add(x)
             m.sigs.append(x)
             m.slots.append(slot)
-            m.blocks.append(blocks)
             m.copies.append(copies)
             if x not in bodies:
                 bodies[x] = body
@@ -435,18 +428,67 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float, n: int, listed:
 
 
 class Joined:
-    """The join's tables: `docs` (doc_id, sig, n), `sets` (sig, doc_id of the least document, copies) of all sets, and `found`: what _verify() returns of signatures with a < b."""
+    """The join's tables: `docs` (doc_id, sig), `sets` (sig, doc_id of the least document, copies, n) of all sets, and `found`: what _verify() returns of signatures with a < b."""
 
     def __init__(self, docs: DataFrame, sets: DataFrame, found: DataFrame) -> None:
         self.docs, self.sets, self.found = docs, sets, found
 
 
-def join(documents: DataFrame, threshold: float = THRESHOLD, n: int = N, listed: bool = False) -> Joined:
+def _null(kind: str) -> Column:
+    return F.lit(None).cast(kind)
+
+
+def _at_hubs(pairs: DataFrame) -> DataFrame:
+    """hub, i, j, a, b: where pairs meet, at the least neighbour of their first set; large meetings are cut into slots by hash."""
+    near = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    hub = near.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("hub"))
+    placed = pairs.join(hub, pairs.a == hub.x).select("hub", "a", "b")
+    sizes = placed.select("hub", F.explode(F.array("a", "b")).alias("sig")).distinct().groupBy("hub").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("cuts"))
+    return placed.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("a"), "cuts").cast("int").alias("i"), F.pmod(F.xxhash64("b"), "cuts").cast("int").alias("j"), "a", "b")
+
+
+def _whole(clusters: DataFrame, sets: DataFrame) -> DataFrame:
+    """Sets (sig, root) that meet as clusters; those too large for one meeting are cut into slots, and every two slots meet."""
+    members = clusters.join(sets, "sig").withColumnsRenamed({"root": "hub", "sig": "a"})
+    large = members.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(MEETING_GRAMS))).cast("int").alias("cuts")).where("cuts > 1")
+    slotted = members.join(large, "hub", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1))).withColumn("slot", F.pmod(F.xxhash64("a"), "cuts").cast("int"))
+    met = slotted.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    return met.select("hub", F.least("slot", "t").alias("i"), F.greatest("slot", "t").alias("j"), F.lit(True).alias("whole"), "a", "doc_id", "slot", "copies")
+
+
+def _verified(texts: DataFrame, sets: DataFrame, placed: DataFrame, whole: DataFrame | None, threshold: float, n: int, listed: bool) -> DataFrame:
+    """What _verify() makes of the pairs of `placed` (a table) and the clusters of `whole`."""
+    at_pairs = placed.select("hub", "i", "j", F.explode(F.array("a", "b")).alias("a")).distinct().join(sets.select(F.col("sig").alias("a"), "doc_id", "copies"), "a")
+    at_pairs = at_pairs.select("hub", "i", "j", F.lit(False).alias("whole"), "a", "doc_id", F.lit(0).alias("slot"), "copies")
+    uses = shared.save(at_pairs if whole is None else at_pairs.unionByName(whole), "uses")
+
+    # the least document of each set that meets others gives its text
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = b.column(1).to_pylist()
+            for i, j in textops.chunks(text):
+                grams, first, _ = gram_sets(text[i:j], n)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(signatures(grams, first)), pa.array(map(_deflate, text[i:j]), pa.binary())], names=["doc_id", "a", "body"])
+
+    wanted, _ = shared.parted(texts, "doc_id", shared.bitmap(uses, "doc_id"))
+    given = wanted.mapInArrow(give, "doc_id long, a long, body binary")
+    columns = [x.split()[0] for x in _MET.split(", ")]
+    sent = given.join(uses, ["doc_id", "a"]).withColumn("b", _null("long")).select(columns)
+    pairs = placed.withColumns({"whole": F.lit(False), "slot": _null("int"), "copies": _null("long"), "body": _null("binary")}).select(columns)
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = sent.unionByName(pairs).repartition(parts, "hub", "i", "j", "whole").sortWithinPartitions("hub", "i", "j", "whole", F.col("b").asc_nulls_first())
+    return ordered.mapInArrow(lambda it: _verify(it, threshold, n, listed), _FOUND)
+
+
+def join(documents: DataFrame, threshold: float = THRESHOLD, n: int = N, listed: bool = False, links: bool = True) -> Joined:
+    """With `listed` every pair of different sets, else links and forests; without `links` the forests alone."""
     spark = documents.sparkSession
     texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     scanned = shared.save(texts.mapInArrow(lambda it: _scan(it, n), _SCAN), "signatures")
-    docs = scanned.where("part is null").select("doc_id", "sig", "n").distinct()
-    sets = shared.save(docs.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n").alias("n")), "sets")
+    rows = scanned.where("part is null")
+    docs = rows.select("doc_id", "sig").distinct()
+    counted = docs.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    sets = shared.save(counted.join(rows.groupBy("sig").agg(F.max("n").alias("n"), F.max("blocks").alias("blocks")), "sig"), "sets")
     table = np.zeros(WORD_CELLS + GRAM_CELLS, np.float32)
     for row in scanned.where("part is not null").select("part", "counts").repartition("part").mapInArrow(_sum_parts, "part int, counts binary").collect():  # of fixed size
         table[row.part * _PART : (row.part + 1) * _PART] = np.frombuffer(zlib.decompress(row.counts), np.float32)
@@ -454,60 +496,41 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, n: int = N, listed:
     middle = float(np.median(cells))
     frequency = spark.sparkContext.broadcast(Frequencies(words, cells, float(words.sum()), middle + 4 * math.sqrt(middle + 1)))  # of fixed size
 
+    # sets of one block are held against the least of them
+    blocked = sets.select("sig", F.explode("blocks").alias("block"))
+    led = blocked.groupBy("block").agg(F.min("sig").alias("a"), F.count("*").alias("n")).where("n > 1")
+    tried = shared.save(_at_hubs(blocked.join(led, "block").where("a < sig").select("a", F.col("sig").alias("b")).distinct()), "tried")
+    near = shared.save(_verified(texts, sets, tried, None, threshold, n, True).select("a", "b"), "near")
+    clusters = shared.save(components(near).select(F.col("node").alias("sig"), "root"), "clusters")
+
+    # of the documents of a cluster's sets, the least of each set posts, and says which cluster it is in
+    members = shared.save(docs.join(clusters, "sig").select("doc_id").distinct(), "members")
+    inside, outside = shared.parted(texts, "doc_id", shared.bitmap(members, "doc_id"))
+    givers = clusters.join(sets, "sig").select("doc_id", "sig", "root")
+    other = outside.unionByName(inside.join(members, "doc_id", "left_anti")).withColumns({"own": _null("long"), "root": F.lit(NONE)})
+    known = inside.join(givers, "doc_id").select("doc_id", "text", F.col("sig").alias("own"), "root")
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = b.column(1).to_pylist()
+            text, mine, root = b.column(1).to_pylist(), b.column(2), b.column(3).to_numpy()
             for i, j in textops.chunks(text):
                 grams, first, expected = gram_sets(text[i:j], n, frequency.value)
                 doc, g, level, own = prefixes(grams, first, expected, threshold)
                 size, sig = np.diff(first), signatures(grams, first)
-                one, two = blocks(doc, g, level)
-                both = ((one << np.uint64(32)) | two).view(np.int64)
-                # level 0 marks the postings of the blocks, 1 and 2 in place of k
-                keys = [textops.mix(x + (np.uint64(i) << np.uint64(40))).view(np.int64) for i, x in ((1, one), (2, two))]
-                g = np.concatenate((g, *keys))
-                meta = np.concatenate(((size[doc] << 16) | (level << 8) | own[doc], (size << 16) | 1, (size << 16) | 2))
-                sets = np.concatenate((doc, np.arange(len(size)), np.arange(len(size))))
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(sig[sets]), pa.array(meta), pa.array(both[sets])], names=["gram", "sig", "meta", "block"])
+                # an id with several texts: each is joined with the sets of all of them
+                right = np.array([x is None or x == y for x, y in zip(mine.slice(i, j - i).to_pylist(), sig.tolist())], bool)[doc]
+                doc, g, level = doc[right], g[right], level[right]
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(sig[doc]), pa.array((size[doc] << 16) | (level << 8) | own[doc]), pa.array(root[i:j][doc])], names=["gram", "sig", "meta", "cluster"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = texts.mapInArrow(post, "gram long, sig long, meta long, block long").repartition(parts, "gram")
-    matched = postings.mapInArrow(lambda it: _pairs(it, threshold), "a long, b long, k int, n long").groupBy("a", "b", "k").agg(F.sum("n").alias("n")).where("k < 0 or n >= k")
-    matched = shared.save(matched, "candidates")
-    candidates = matched.where("k > 0").select("a", "b")
-
-    # blocks too large for one meeting are cut into slots, and every two slots meet
-    members = matched.where("k < 0").select(F.col("a").alias("hub"), F.col("b").alias("a"), (-F.col("k")).alias("kind"), F.col("n").alias("blocks")).join(sets.select(F.col("sig").alias("a"), "doc_id", "n", "copies"), "a")
-    large = members.groupBy("hub", "kind").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(MEETING_GRAMS))).cast("int").alias("cuts")).where("cuts > 1")
-    slotted = members.join(large, ["hub", "kind"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1))).withColumn("slot", F.pmod(F.xxhash64("a"), "cuts").cast("int"))
-    at_blocks = slotted.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select("hub", F.least("slot", "t").alias("i"), F.greatest("slot", "t").alias("j"), "kind", "a", "doc_id", "slot", "blocks", "copies")
-
-    # other candidates meet at the least candidate neighbour of their first set
-    near = candidates.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(candidates.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    hub = near.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("hub"))
-    at_hub = candidates.join(hub, candidates.a == hub.x).select("hub", "a", "b")
-    sizes = at_hub.select("hub", F.explode(F.array("a", "b")).alias("sig")).distinct().groupBy("hub").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("cuts"))
-    placed = at_hub.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("a"), "cuts").cast("int").alias("i"), F.pmod(F.xxhash64("b"), "cuts").cast("int").alias("j"), "a", "b")
-    placed = shared.save(placed, "placed")
-    at_pairs = placed.select("hub", "i", "j", F.explode(F.array("a", "b")).alias("a")).distinct().join(sets.select(F.col("sig").alias("a"), "doc_id", "copies"), "a")
-    uses = shared.save(at_blocks.unionByName(at_pairs.withColumn("kind", F.lit(0)).withColumn("slot", F.lit(0)).withColumn("blocks", F.lit(0).cast("long"))), "uses")
-
-    # the least document of each set that meets others gives its text
-    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text = b.column(1).to_pylist()
-            for i, j in textops.chunks(text):
-                grams, first, _ = gram_sets(text[i:j], n)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(signatures(grams, first)), pa.array(map(_deflate, text[i:j]), pa.binary())], names=["doc_id", "a", "body"])
-
-    wanted, _ = shared.parted(texts, "doc_id", shared.bitmap(uses, "doc_id"))
-    given = wanted.mapInArrow(give, "doc_id long, a long, body binary").dropDuplicates(["doc_id", "a"])
-    columns = [x.split()[0] for x in _MET.split(", ")]
-    sent = given.join(uses, ["doc_id", "a"]).withColumn("b", F.lit(None).cast("long")).select(columns)
-    null = lambda kind: F.lit(None).cast(kind)
-    pairs = placed.withColumns({"kind": F.lit(0), "slot": null("int"), "blocks": null("long"), "copies": null("long"), "body": null("binary")}).select(columns)
-    ordered = sent.unionByName(pairs).repartition(parts, "hub", "i", "j", "kind").sortWithinPartitions("hub", "i", "j", "kind", F.col("b").asc_nulls_first())
-    return Joined(docs, sets, shared.save(ordered.mapInArrow(lambda it: _verify(it, threshold, n, listed), _FOUND), "found"))
+    postings = other.unionByName(known).mapInArrow(post, "gram long, sig long, meta long, cluster long").repartition(parts, "gram")
+    matched = postings.mapInArrow(lambda it: _pairs(it, threshold), "a long, b long, k int, n int").groupBy("a", "b", "k").agg(F.sum("n").alias("n")).where("n >= k")
+    candidates = shared.save(matched.select("a", "b"), "candidates")
+    placed = shared.save(_at_hubs(candidates), "placed")
+    found = _verified(texts, sets, placed, _whole(clusters, sets) if listed or links else None, threshold, n, listed)
+    if not listed and not links:
+        found = found.unionByName(near.select("a", "b", _null("long").alias("links"), _null("double").alias("jaccard")))
+    return Joined(docs, sets, shared.save(found, "found"))
 
 
 def similar_sets(documents: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
@@ -539,7 +562,7 @@ def one_of_each(documents: DataFrame, threshold: float = THRESHOLD, n: int = N)
 
     An id with several texts goes if any of them belongs to a group of a smaller id.
     """
-    found = join(documents, threshold, n)
+    found = join(documents, threshold, n, links=False)
     sets = found.sets.select("sig", F.col("doc_id").alias("least")).join(_classes(found), "sig", "left").select("sig", F.coalesce("root", "least").alias("root"))
     gone = shared.save(found.docs.join(sets, "sig").where("doc_id <> root").select("doc_id").distinct(), "gone")
     # only rows that may go are shuffled

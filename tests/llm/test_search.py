@@ -169,8 +169,8 @@ def test_shared_grams_without_any_pair(spark):
 
 def test_pairs_of_a_partition_whose_grams_give_none():
     """One n-gram that sets of 3 and of 300 n-grams share, and one that nobody shares."""
-    rows = [(7, 1, (3 << 16) | (1 << 8) | 1, 5), (7, 2, (300 << 16) | (1 << 8) | 1, 6), (8, 2, (300 << 16) | (1 << 8) | 1, 6)]
-    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["gram", "sig", "meta", "block"])
+    rows = [(7, 1, (3 << 16) | (1 << 8) | 1, ngramjoin.NONE), (7, 2, (300 << 16) | (1 << 8) | 1, ngramjoin.NONE), (8, 2, (300 << 16) | (1 << 8) | 1, ngramjoin.NONE)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["gram", "sig", "meta", "cluster"])
     assert list(ngramjoin._pairs(iter([batch]), 0.7)) == list(ngramjoin._pairs(iter([batch.slice(0, 0)]), 0.7)) == []
 
 
