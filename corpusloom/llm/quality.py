@@ -10,8 +10,11 @@ Rolling hashes of word n-grams (n = 2..10) and of lines find what repeats
 * ``dup_lines``: share of non-blank lines that are second or later occurrences,
   ``dup_line_chars`` the same by characters.
 
-An n-gram or line counts from REPEATS = 3 occurrences on: a header that comes
-back once, as a footer, is not repetition.
+Repetition counts from the second occurrence on.  One thing is no repetition: a
+page's header that comes back as its footer.  If the first line (FRAME_CHARS
+characters at most) occurs a second time, that is among the last two lines, and
+nowhere else, the second one is left out before anything is measured; lines that are
+blank don't count, and a text of fewer than three lines has no such frame.
 
 Limits are those published for web text (Rae et al. 2021, table A1).  The
 document is rejected if any measure exceeds its limit.
@@ -36,20 +39,19 @@ from . import shared, textops
 TOP = {2: 0.20, 3: 0.18, 4: 0.16}
 DUP = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 LINES, LINE_CHARS = 0.30, 0.20
-REPEATS = 3
+FRAME_CHARS = 120
 MEASURES = [f"top_{n}" for n in TOP] + [f"dup_{n}" for n in DUP] + ["dup_lines", "dup_line_chars"]
 LIMITS = np.array([*TOP.values(), *DUP.values(), LINES, LINE_CHARS])
 
 
 def _later(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions whose key occurs REPEATS times or more, ordered by key and position; where each key's group begins; group sizes."""
+    """Positions whose key occurs twice or more, ordered by key and position; where each key's group begins; group sizes."""
     order = np.argsort(key)
     s = key[order]
-    far = REPEATS - 1
-    same = s[far:] == s[: max(0, len(s) - far)]
+    same = s[1:] == s[:-1]
     member = np.zeros(len(s), bool)
-    for k in range(REPEATS):
-        member[k : k + len(same)] |= same
+    member[:-1] |= same
+    member[1:] |= same
     idx, k = order[member], s[member]
     again = np.lexsort((idx, k))
     idx, k = idx[again], k[again]
@@ -57,9 +59,25 @@ def _later(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return idx, head, np.diff(np.concatenate((head, [len(k)])))
 
 
+def unframed(text: str) -> str:
+    """Without a first line's only other occurrence at the end."""
+    if "\n" not in text:
+        return text
+    lines = text.split("\n")
+    at = [i for i, x in enumerate(lines) if x.strip()]
+    if len(at) < 3 or len(first := lines[at[0]].strip()) > FRAME_CHARS:
+        return text
+    hits = [i for i in at if lines[i].strip() == first]
+    if len(hits) != 2 or hits[1] not in at[-2:]:
+        return text
+    del lines[hits[1]]
+    return "\n".join(lines)
+
+
 def measure(texts: list[str]) -> np.ndarray:
     """Measures of every text, in the order of MEASURES."""
     out = np.zeros((len(texts), len(MEASURES)))
+    texts = list(map(unframed, texts))
     w = textops.words(texts)
     n_docs = len(texts)
     size = (w.end - w.start).astype(np.float64)
@@ -92,7 +110,7 @@ def measure(texts: list[str]) -> np.ndarray:
     for i, t in enumerate(texts):
         if "\n" in t:
             counts = Counter(x for x in map(str.strip, t.split("\n")) if x)
-            often = [(x, c - 1) for x, c in counts.items() if c >= REPEATS]
+            often = [(x, c - 1) for x, c in counts.items() if c > 1]
             if often:
                 out[i, -2] = sum(c for _, c in often) / counts.total()
                 out[i, -1] = sum(len(x) * c for x, c in often) / sum(len(x) * c for x, c in counts.items())
@@ -140,9 +158,9 @@ def _oracle() -> str:
         gram = " || ' ' || ".join(["w"] + [f"lead(w, {k}) over (partition by r order by p)" for k in range(1, n)])
         base = f"g{n} as (select r, p, {gram} g from w), c{n} as (select r, p, g, count(*) over (partition by r, g) c, row_number() over (partition by r, g order by p) i, min(p) over (partition by r, g) f from g{n} where g is not null)"
         if n in TOP:
-            hit = f"h{n} as (select r, p from (select r, p, g, c, first_value(g) over (partition by r order by c desc, f) best from c{n} where c >= {REPEATS}) where g = best)"
+            hit = f"h{n} as (select r, p from (select r, p, g, c, first_value(g) over (partition by r order by c desc, f) best from c{n} where c > 1) where g = best)"
         else:
-            hit = f"h{n} as (select r, p from c{n} where c >= {REPEATS} and i > 1)"
+            hit = f"h{n} as (select r, p from c{n} where i > 1)"
         cover = f"v{n} as (select r, sum(len) s from (select distinct w.r, w.p, w.len from h{n} h join w on w.r = h.r and w.p between h.p and h.p + {n - 1}) group by r)"
         parts += [base, hit, cover]
     cols = ", ".join(f"(coalesce(v{n}.s, 0) / coalesce(greatest(tot.s, 1), 1))::double as {'top' if n in TOP else 'dup'}_{n}" for n in [*TOP, *DUP])
@@ -151,14 +169,20 @@ def _oracle() -> str:
     bad = " or ".join(f"{k} > {v}" for k, v in limits.items())
     why = ", ".join(f"case when {k} > {v} then '{k}' end" for k, v in limits.items())
     return f"""
-with d as (select row_number() over () r, doc_id, coalesce(text, '') t from documents),
+with d0 as (select row_number() over () r, doc_id, coalesce(text, '') t from documents),
+a0 as (select r, unnest(string_split(t, chr(10))) raw, generate_subscripts(string_split(t, chr(10)), 1) p from d0),
+a1 as (select r, p, raw, trim(raw, ' ' || chr(9) || chr(13)) l from a0),
+a2 as (select r, p, l, row_number() over (partition by r order by p) k, count(*) over (partition by r) m, first_value(l) over (partition by r order by p) f from a1 where l <> ''),
+a3 as (select r, max(p) p from a2 where l = f and m >= 3 and length(f) <= {FRAME_CHARS} group by r having count(*) = 2 and max(k) >= max(m) - 1),
+d1 as (select a1.r, string_agg(raw, chr(10) order by a1.p) t from a1 join a3 on a3.r = a1.r and a3.p <> a1.p group by a1.r),
+d as (select d0.r, doc_id, coalesce(d1.t, d0.t) t from d0 left join d1 on d1.r = d0.r),
 x as (select r, unnest(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}\\p{{M}}]+')) w, generate_subscripts(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}\\p{{M}}]+'), 1) p from d),
 w as (select r, p, w, length(w) len from x),
 tot as (select r, sum(len) s from w group by r),
 {", ".join(parts)},
 l0 as (select r, trim(unnest(string_split(t, chr(10))), ' ' || chr(9) || chr(13)) l from d),
 l1 as (select r, l, count(*) c from l0 where l <> '' group by r, l),
-l2 as (select r, coalesce(sum(c - 1) filter (where c >= {REPEATS}), 0) / sum(c) a, coalesce(sum(length(l) * (c - 1)) filter (where c >= {REPEATS}), 0) / sum(length(l) * c) b from l1 group by r),
+l2 as (select r, sum(c - 1) / sum(c) a, sum(length(l) * (c - 1)) / sum(length(l) * c) b from l1 group by r),
 m as (select d.doc_id, {cols}, coalesce(l2.a, 0)::double as dup_lines, coalesce(l2.b, 0)::double as dup_line_chars
 from d left join tot on tot.r = d.r left join l2 on l2.r = d.r {joins})
 select *, ({bad}) as rejected, concat_ws(',', {why}) as reasons from m

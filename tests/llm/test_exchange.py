@@ -11,44 +11,46 @@ from corpusloom.llm import chat, lines, warc
 DOCS = "doc_id long, text string, n_chars int, __text string, __drop string, `a.b` int"
 
 
-def brute_lines(texts, threshold):
+def brute_lines(rows, threshold, copies_once):
     norm = lambda x: " ".join(x.replace("\t", " ").replace("\r", " ").lower().split(" ")).strip()
     squash = lambda x: " ".join(p for p in norm(x).split(" ") if p)
     holders = defaultdict(set)
-    for t in {t for t in texts if t is not None}:
-        for x in t.split("\n"):
-            holders[squash(x)].add(t)
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            if copies_once or i is not None:
+                holders[squash(x)].add(t if copies_once else i)
     bad = {k for k, v in holders.items() if k and len(v) > threshold}
-    return [None if t is None else "\n".join(x for x in t.split("\n") if squash(x) not in bad) for t in texts]
+    return {t: None if t is None else "\n".join(x for x in t.split("\n") if squash(x) not in bad) for _, t in rows}
 
 
-def test_lines_equal_brute_force(spark):
+@pytest.mark.parametrize("copies_once", [False, True])
+def test_lines_equal_brute_force(spark, copies_once):
     rng = random.Random(5)
     pool = ["Share this", "share  THIS ", "Follow us", "", "  ", "unique a", "unique b", "x\ty", "X Y", "é", "É"]
     texts = ["\n".join(rng.choices(pool, k=rng.randint(1, 6))) + rng.choice(["", "\n", f"\nown {i}"]) for i in range(60)]
-    texts += [None, "", "\n\n", texts[0], texts[0], "Share this", "word " * 100_000]
-    docs = spark.createDataFrame([*((i, t, 0, "keep", "me", 7) for i, t in enumerate(texts)), (None, texts[3], None, None, None, None), (3, texts[3], 0, "keep", "me", 7)], DOCS)
-    got = lines.dedup(docs, 4).collect()
-    expected = brute_lines([*texts], 4)
-    assert len(got) == len(texts) + 2
+    texts += [None, "", "\n\n", texts[0], texts[0], "Share this", "word " * 100_000, *["copied\nlines"] * 6, "\n".join(f"line {i}" for i in range(20_000)) + "\nFollow us"]
+    rows = [*((i, t, 0, "keep", "me", 7) for i, t in enumerate(texts)), (None, texts[3], None, None, None, None), (3, texts[3], 0, "keep", "me", 7), *[(None, "nobody", 0, "keep", "me", 7)] * 6, *[(3, "again", 0, "keep", "me", 7)] * 6]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = lines.dedup(docs, 4, copies_once).collect()
+    expected = brute_lines([r[:2] for r in rows], 4, copies_once)
+    assert len(got) == len(rows) and sorted((r.doc_id or -1, r.text or "") for r in got) == sorted((r[0] or -1, expected[r[1]] or "") for r in rows)
     for r in got:
-        want = expected[3 if r.doc_id is None else r.doc_id]
-        assert r.text == want and (want is None or r.n_chars == len(want))
-        assert r["__text"] == (None if r.doc_id is None else "keep")
-        before = texts[3 if r.doc_id is None else r.doc_id]
-        if want:
-            assert r["__dropped"] == before.count("\n") - want.count("\n")
-    clean = lines.clean(docs, 4)
+        assert r.text is None or r.n_chars == len(r.text)
+        if r.doc_id is not None and r.doc_id > 3 and r.text:
+            assert r["__dropped"] == texts[r.doc_id].count("\n") - r.text.count("\n") and r["__text"] == "keep"
+    clean = lines.clean(docs, 4, copies_once)
     assert clean.columns == docs.columns and [t for _, t in clean.dtypes] == [t for _, t in docs.dtypes]
     assert lines.clean(docs.limit(0)).count() == 0
 
 
-def test_lines_need_more_than_the_threshold_of_different_texts(spark):
-    copies = [(i, "shared\nbody", 0, "", "", 0) for i in range(50)]
-    assert {r.text for r in lines.dedup(spark.createDataFrame(copies, DOCS), 4).collect()} == {"shared\nbody"}
-    apart = [(i, f"shared\nbody {i}", 0, "", "", 0) for i in range(5)]
-    assert {r.text for r in lines.dedup(spark.createDataFrame(apart, DOCS), 4).collect()} == {f"body {i}" for i in range(5)}
-    assert {r["__dropped"] for r in lines.dedup(spark.createDataFrame(apart, DOCS), 5).collect()} == {0}
+def test_line_counts_by_id_or_by_text(spark):
+    copies = spark.createDataFrame([(i, "shared\nbody", 0, "", "", 0) for i in range(50)], DOCS)
+    assert {r.text for r in lines.dedup(copies, 4).collect()} == {""}
+    assert {r.text for r in lines.dedup(copies, 4, copies_once=True).collect()} == {"shared\nbody"}
+    apart = spark.createDataFrame([(i, f"shared\nbody {i}", 0, "", "", 0) for i in range(5)], DOCS)
+    for once in (False, True):
+        assert {r.text for r in lines.dedup(apart, 4, once).collect()} == {f"body {i}" for i in range(5)}
+        assert {r["__dropped"] for r in lines.dedup(apart, 5, once).collect()} == {0}
 
 
 TURNS = "conv_id long, turn int, role string, text string, __pos int, h string"
