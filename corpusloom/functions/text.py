@@ -139,7 +139,8 @@ def token_budget(c: Column) -> Column:
 
 
 def difficulty(identifier: Column) -> Column:
-    return F.when(identifier.startswith("low-"), F.lit("low")).when(identifier.startswith("medium-"), F.lit("medium")).otherwise(F.lit("high"))
+    """By the id's prefix low- or medium-; "default" for any other."""
+    return F.when(identifier.startswith("low-"), F.lit("low")).when(identifier.startswith("medium-"), F.lit("medium")).otherwise(F.lit("default"))
 
 
 def peel_quotes(c: Column) -> Column:

@@ -157,8 +157,10 @@ def sigmoid(c: Column) -> Column:
 
 
 def composite(scores: dict[str, Column], weights: dict[str, float] | None = None) -> Column:
-    """Weighted mean of the scores that are there; null without any."""
+    """Weighted mean of the scores that are there; null without any of them."""
     w = weights or WEIGHTS
+    if not set(scores) & set(w):
+        return F.lit(None).cast("double")
     terms = [(F.coalesce(c * w[k], F.lit(0.0)), F.when(c.isNull(), 0.0).otherwise(w[k])) for k, c in scores.items() if k in w]
     total, weight = terms[0]
     for a, b in terms[1:]:
@@ -167,6 +169,6 @@ def composite(scores: dict[str, Column], weights: dict[str, float] | None = None
 
 
 def estimated(scores: dict[str, Column], least: float = 0.50, weights: dict[str, float] | None = None) -> Column:
-    """composite() as a stage."""
-    score = composite(scores, weights)
+    """composite() as a stage; pairs without any score have 0 and are rejected."""
+    score = F.coalesce(composite(scores, weights), F.lit(0.0))
     return F.struct(F.when(F.coalesce(score < least, F.lit(True)), F.lit("composite")).alias("reason"), score.alias("score"))

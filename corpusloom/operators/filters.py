@@ -95,8 +95,14 @@ def numbered_question(number: Column, answers: Column, *texts: Column) -> Column
 
 
 def keyed_question(key: Column, choices: Column) -> Column:
-    """A key, 2 to 5 choices without blanks, the key among them."""
-    return key.isNotNull() & F.size(choices).between(2, 5) & F.forall(F.map_values(choices), lambda c: filled(c)) & F.array_contains(F.map_keys(choices), key)
+    """A key that is the text of one of 2 to 5 choices; blank choices don't count, blanks at ends don't matter."""
+    kept = filled_choices(choices)
+    return filled(key) & F.size(kept).between(2, 5) & F.array_contains(kept, T.strip(key))
+
+
+def filled_choices(choices: Column) -> Column:
+    """The choices that aren't null or blank, without blanks at their ends."""
+    return F.filter(F.transform(choices, T.strip), lambda c: c != "")
 
 
 def subjects(subject: Column, included: list[str] | None) -> Column:

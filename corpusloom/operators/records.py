@@ -112,7 +112,8 @@ PREFIXES = ("", "Оберіть відповідь:\n", "Який варіант
 
 
 def variants(questions: DataFrame, key: str, factor: int, seed: int = 42, prefixes: tuple[str, ...] = PREFIXES, most: int = 5) -> DataFrame:
-    """Each usable question `factor` times: variant 0 as it is, the others with answers in different random orders; a question of too few orders has fewer variants.
+    """Each usable question `factor` times: variant 0 as it is, the others with answers in different random orders; a question of too few orders has fewer variants,
+    and one of more than `most` answers has the first variant alone.
 
     Columns answers array<struct<marker,text>> and correct_answers array<string> are
     rewritten, and `variant` and `prefix` added. Orders come from a constant table of at
@@ -142,10 +143,17 @@ def picked(variants_: DataFrame, key: str, in_reasoning: Column) -> DataFrame:
 
 
 def another_order(answers: Column, key: Column, seed: int = 42) -> Column:
-    """A random order of the answers that isn't the one they have; the same for fewer than two."""
+    """A random order of the answers that isn't the one they have; the same for fewer than two.
+
+    All n! - 1 others can come out: places are ordered by a hash each, and an order
+    that turns out as the old one has its first place moved to another, by a hash too.
+    """
     n = F.size(answers)
+    place = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    mixed = F.transform(F.array_sort(F.transform(place, lambda i: F.struct(draw(seed, key, i).alias("d"), i.alias("i")))), lambda x: x["i"])
     shift = (F.pmod(F.xxhash64(F.lit(seed), key), F.greatest(n - 1, F.lit(1))) + 1).cast("int")
-    return F.when(n < 2, F.transform(answers, lambda _, i: i)).otherwise(F.transform(answers, lambda _, i: F.pmod(i + shift, n)))
+    turned = F.transform(place, lambda i: F.when(i == 0, shift).when(i == shift, F.lit(0)).otherwise(i))
+    return F.when((n < 2) | (mixed != place), mixed).otherwise(turned)
 
 
 def assembled(parts: dict[str, DataFrame], caps: dict[str, int] | None = None, key: str = "id", seed: int = 42) -> DataFrame:

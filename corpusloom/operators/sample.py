@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import saved
+
 
 def draw(seed: int, *ids: Column | str) -> Column:
     """A text that orders rows at random."""
@@ -70,10 +72,13 @@ def quality_split(df: DataFrame, score: str, order: str, n_val: int, n_train: in
 
 
 def ranks(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Rows with `rank` from 1 by a total order, over all partitions."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
-    part = F.shiftrightunsigned("__m", 33)
-    counted = placed.withColumn("__p", part)
+    """Rows with `rank` from 1 by a total order, over all partitions.
+
+    The rows are written once as the range shuffle has placed them: what counts the
+    partitions and what reads them must see the same ones, also after an executor is lost.
+    """
+    placed = saved(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()), "ranked")
+    counted = placed.withColumn("__p", F.shiftrightunsigned("__m", 33))
     sizes = counted.groupBy("__p").agg(F.count("*").alias("__k"), F.min("__m").alias("__first"))
     starts = sizes.withColumn("__before", F.coalesce(F.sum("__k").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # a row for each partition: small whatever the data's size

@@ -31,21 +31,23 @@ def stage_stats(df: DataFrame, stages: list[str], failed: str = "failed_stage",
     return table.select("stage", n_in.alias("n_in"), (n_in - rejected).alias("n_out"), rejected.alias("n_rejected"), kept.alias("retention"))
 
 
-def calibrated(pairs: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """measure, low, high: exact percentiles (of the values that occur) of lengths and ratios."""
+def _measures() -> dict[str, Column]:
+    """Lengths and ratios of pairs; parts are what single spaces separate."""
     src, tgt = F.col("source"), F.col("target")
     parts = lambda c: F.size(F.split(c, " ", -1))
-    measures = {"src_chars": F.length(src), "tgt_chars": F.length(tgt), "char_ratio": F.length(src) / F.greatest(F.length(tgt), F.lit(1)), "word_ratio": parts(src) / F.greatest(parts(tgt), F.lit(1))}
-    long = pairs.select(F.explode(F.create_map(*(x for k, c in measures.items() for x in (F.lit(k), c.cast("double"))))).alias("measure", "value"))
+    return {"src_chars": F.length(src), "tgt_chars": F.length(tgt), "char_ratio": F.length(src) / F.greatest(F.length(tgt), F.lit(1)), "word_ratio": parts(src) / F.greatest(parts(tgt), F.lit(1))}
+
+
+def calibrated(pairs: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """measure, low, high: exact percentiles (of the values that occur) of lengths and ratios."""
+    long = pairs.select(F.explode(F.create_map(*(x for k, c in _measures().items() for x in (F.lit(k), c.cast("double"))))).alias("measure", "value"))
     at = lambda p: F.expr(f"percentile_disc({p}) within group (order by value)")
     return long.groupBy("measure").agg(at(low).alias("low"), at(high).alias("high"))
 
 
 def calibrated_fast(pairs: DataFrame, low: float = 0.025, high: float = 0.975, accuracy: int = 10_000) -> DataFrame:
     """calibrated() by mergeable sketches: no sort and nothing but sketches is shuffled."""
-    src, tgt = F.length("source"), F.length("target")
-    ratio = src / F.greatest(tgt, F.lit(1))
-    row = pairs.agg(*(F.percentile_approx(c.cast("double"), [low, high], accuracy).alias(k) for k, c in (("src_chars", src), ("tgt_chars", tgt), ("char_ratio", ratio))))
+    row = pairs.agg(*(F.percentile_approx(c.cast("double"), [low, high], accuracy).alias(k) for k, c in _measures().items()))
     return row.select(F.explode(F.create_map(*(x for k in row.columns for x in (F.lit(k), F.col(k))))).alias("measure", "v")).select("measure", F.col("v")[0].alias("low"), F.col("v")[1].alias("high"))
 
 

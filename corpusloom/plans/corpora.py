@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, filters, segment
 from ..operators.sample import quality_split
-from .pipeline import Config, run_stages
+from .pipeline import Config, run_passes
 
 
 @dataclass(frozen=True)
 class Corpus:
-    stages: tuple[int, ...]
+    """Stages of each pass over the corpus, and thresholds."""
+
+    passes: tuple[tuple[int, ...], ...]
     similarity: float
-    near: float | None = None
+    near: float = 0.90
     sentences: tuple[int, int] | None = None
     chars: tuple[int, int] | None = None
     saturation: float = 600
@@ -24,11 +26,11 @@ class Corpus:
 
 
 CORPORA = {
-    "eubookshop": Corpus((1, 2, 3, 5, 6, 7, 8), 0.78, sentences=(3, 15), chars=(80, 4000)),
-    "elrc": Corpus((1, 2, 3, 5, 6, 7, 8, 9), 0.89, sentences=(2, 12), chars=(80, 5000), saturation=700, weights=(0.50, 0.30, 0.20)),
-    "wikimedia": Corpus((1, 2, 3, 4, 5, 6, 7, 8), 0.87, near=0.93, saturation=400),
-    "nllb": Corpus((1, 3, 4, 5, 6, 7, 8, 2), 0.85),
-    "fiction": Corpus((1, 2, 3, 6, 7, 8), 0.87),
+    "eubookshop": Corpus(((1, 2, 3, 5, 6, 7, 8),), 0.78, sentences=(3, 15), chars=(80, 4000)),
+    "elrc": Corpus(((1, 2, 3, 5, 6, 7, 8, 9),), 0.89, sentences=(2, 12), chars=(80, 5000), saturation=700, weights=(0.50, 0.30, 0.20)),
+    "wikimedia": Corpus(((1, 2, 3, 4, 5, 6, 7, 8),), 0.87, near=0.93, saturation=400),
+    "nllb": Corpus(((1, 3, 4, 5, 6, 7, 8), (2,)), 0.85),
+    "fiction": Corpus(((1, 2, 3, 6, 7, 8),), 0.87),
 }
 
 #: Caps by corpus for training mixtures.
@@ -45,7 +47,7 @@ def build(name: str, pairs: DataFrame, config: Config = Config(pair="cs-uk"), gr
         pairs = paragraphs.select(F.concat_ws("|", group, F.format_string("%09d", "window")).alias("seq"), "source", "target")
     if name == "wikimedia":
         pairs = pairs.where(filters.long_enough(F.col("source"), F.col("target")))
-    return run_stages(pairs, list(c.stages), replace(config, embed_sim_min=c.similarity, near_threshold=c.near))
+    return run_passes(pairs, [list(p) for p in c.passes], replace(config, embed_sim_min=c.similarity, near_threshold=c.near))
 
 
 def scored(name: str, pairs: DataFrame, pair: str = "cs-uk") -> DataFrame:

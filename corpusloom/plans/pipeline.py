@@ -22,7 +22,7 @@ STAGES = dict(enumerate("unicode dedup language uk_quality structural entity cop
 
 @dataclass(frozen=True)
 class Config:
-    """Thresholds and model seams. A seam that is None makes its stage pass everything, as with a model that isn't installed."""
+    """Thresholds and model seams. A seam that is None makes its stage pass everything, as with a model that isn't installed. `near_threshold` None takes near duplicates out of stage 2."""
 
     pair: str = "en-uk"
     overrides: dict = field(default_factory=dict)
@@ -30,7 +30,7 @@ class Config:
     embed_sim_min: float = 0.85
     composite_min: float = 0.50
     lid_min: float = 0.95
-    near_threshold: float | None = None
+    near_threshold: float | None = 0.90
     latin: float | None = None
     compose: bool = True
     weights: dict | None = None
@@ -84,8 +84,7 @@ def judge(pairs: DataFrame, stages: list[int] | str = (1, 2, 5, 6, 7), config: C
             scores = {n: F.col(c) for n, c in here.items() if c in df.columns}
             if config.estimate is not None:
                 scores["qe"] = clean.sigmoid(config.estimate)
-            if scores:
-                df = _stage(df, name, clean.estimated(scores, config.composite_min, config.weights), "composite_score")
+            df = _stage(df, name, clean.estimated(scores, config.composite_min, config.weights), "composite_score")
     return df
 
 
@@ -118,14 +117,21 @@ def run_stages(pairs: DataFrame, stages: list[int] | str = (1, 2, 5, 6, 7), conf
     return judge(pairs, stages, config).where("failed_stage is null").orderBy("seq").select("source", "target")
 
 
+def run_passes(pairs: DataFrame, passes: list[list[int]], config: Config = Config()) -> DataFrame:
+    """run_stages() several times, each over what the last one kept: for corpora whose deduplication comes after all other stages."""
+    for stages in passes:
+        pairs = judge(pairs, stages, config).where("failed_stage is null").select("seq", "source", "target")
+    return pairs.orderBy("seq").select("source", "target")
+
+
 def statistics(judged: DataFrame, stages: list[int] | str) -> DataFrame:
     return stats.stage_stats(judged, [STAGES[k] for k in selected(stages)])
 
 
 def with_calibration(pairs: DataFrame, config: Config) -> Config:
-    """The configuration with length and ratio bounds at the 2.5 and 97.5 per cent points of the data. Four rows come to the driver."""
+    """The configuration with length, character ratio and word ratio bounds at the 2.5 and 97.5 per cent points of the data. Four rows come to the driver."""
     from dataclasses import replace
 
     found = {r.measure: (r.low, r.high) for r in stats.calibrated_fast(pairs).collect()}
-    names = {"src": "src_chars", "tgt": "tgt_chars", "chars": "char_ratio"}
+    names = {"src": "src_chars", "tgt": "tgt_chars", "chars": "char_ratio", "words": "word_ratio"}
     return replace(config, overrides=config.overrides | {k: found[m] for k, m in names.items() if m in found})

@@ -123,7 +123,7 @@ def word_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WINDOW = f"""with {_PAIRS}, w as (select seq, {_words('source')} a, {_words('target')} b from pairs)
 select seq, a as n_source, b as n_target from w where a between 3 and 100 and b between 3 and 100 and a / greatest(b, 1) between {1 / 3} and 3.0"""
 
-_OPEN = Config(latin=1.0, overrides={"chars": (0.05, 20.0), "tgt": (5, 5000), "src": (2, 5000), "words": (0.05, 20.0)}, compose=False)
+_OPEN = Config(latin=1.0, overrides={"chars": (0.05, 20.0), "tgt": (5, 5000), "src": (2, 5000), "words": (0.05, 20.0)}, compose=False, near_threshold=None)
 
 
 def stage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

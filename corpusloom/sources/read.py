@@ -8,11 +8,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.filters import filled
+from ..operators.filters import filled, filled_choices, keyed_question
 from ..operators.sample import draw
 
 PAIR = "source string, target string"
@@ -39,11 +39,17 @@ def pairs_tsv(spark: SparkSession, path: str, source: str = "source", target: st
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """ord (from 0) and line of text files, in their order.
 
-    Lines are counted by partition and numbered within each; nothing is sorted, and
-    a number for each partition is all that the driver sees.
+    Files are read as they lie, one task a split; each split's lines are counted, the
+    counts (a number for each split) are summed, and every line gets its own place. Two
+    reads, nothing is sorted and no line passes through Python. Spark reads large files
+    first, so a folder's files are ordered by name and not by split.
     """
-    lines = spark.read.text(path)
-    return lines.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF("ord long, line string")
+    # where a line stands is known by file, block and its place in the block
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("file", "block", "first", before.alias("before"))
+    return lines.join(starts, ["file", "block"]).select((F.col("before") + F.col("at") - F.col("first")).alias("ord"), F.col("value").alias("line"))
 
 
 def parallel(spark: SparkSession, source: str, target: str, ids: str | None = None, strip_numbers: bool = False, strict: bool = False) -> DataFrame:
@@ -139,9 +145,12 @@ def stories(spark: SparkSession, path: str, gap: int = 3) -> DataFrame:
 
 
 def passages(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each question of files of passages: text, question, choices (map), key."""
-    raw = json_array(spark, path, "text string, mcqs array<struct<question:string,choices:map<string,string>,key:string>>")
-    return raw.select("text", F.explode("mcqs").alias("m")).select("text", "m.question", "m.choices", "m.key")
+    """A row for each usable question of files of passages (text, mcqs of stem, choices, key): text, question, choices, key, answers with markers, and the marker of the key, which is the text of a choice."""
+    raw = json_array(spark, path, "text string, mcqs array<struct<stem:string,choices:array<string>,key:string>>")
+    rows = raw.select(T.strip(F.col("text")).alias("text"), F.explode("mcqs").alias("m")).where(keyed_question(F.col("m.key"), F.col("m.choices")))
+    out = rows.select("text", T.strip(F.col("m.stem")).alias("question"), filled_choices(F.col("m.choices")).alias("choices"), T.strip(F.col("m.key")).alias("key"))
+    answers = T.lettered_answers(T.choices_map(F.col("choices")))
+    return out.select("*", answers.alias("answers"), F.get(answers, (F.array_position("choices", F.col("key")) - 1).cast("int"))["marker"].alias("correct"))
 
 
 def annotated(documents: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def test_text_functions(spark):
     assert one(spark, T.choices_map(C("o")), o=["x", "y"]) == {"0": "x", "1": "y"}
     assert one(spark, T.error_target(C("a"), C("b")), a="x", b="y") == "x -> y" and one(spark, T.error_target(C("a"), C("b")), a="CORRECT", b="y") == "CORRECT"
     assert [one(spark, T.token_budget(C("t")), t="x" * n) for n in (0, 600, 5000)] == [384, 514, 1024]
-    assert one(spark, T.peel_quotes(C("t")), t=" «Так» ") == "Так" and one(spark, T.difficulty(C("t")), t="low-3") == "low"
+    assert one(spark, T.peel_quotes(C("t")), t=" «Так» ") == "Так" and [one(spark, T.difficulty(C("t")), t=x) for x in ("low-3", "medium-1", "high-2")] == ["low", "medium", "default"]
     assert one(spark, T.subject(C("t"), {"a": "x|y", "b": "z"}, "none"), t="xz") == "a" and one(spark, T.subject(C("t"), {"a": "x", "b": "z"}, "none"), t="q") == "none"
     assert one(spark, T.ukrainian_letters(C("t")), t="Їжак ab") == 4 and one(spark, T.first_of(C("a"), C("b")), a="", b="y") == "y"
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import clean, dedup, evaluate, filters, joins, records, retrieve, sample, segment, stats
 from corpusloom.plans import corpora
-from corpusloom.plans.pipeline import Config, judge, run_stages, selected, statistics, with_calibration
+from corpusloom.plans.pipeline import Config, judge, run_passes, run_stages, selected, statistics, with_calibration
 
 C = F.col
 GOOD = ("The quick brown fox jumps over the lazy dog.", "Швидка руда лисиця стрибає через ледачого собаку.")
@@ -96,7 +96,7 @@ def test_filters(spark):
     assert keep([("a" * 30 + " b c d e", "z" * 31 + " b c d e"), ("a b", "c d"), (None, "x")], "a string, b string", filters.long_enough(C("a"), C("b"))) == [0]
     assert keep([("a b c", "d e f"), ("a b", "d e f"), ("a b c d e f g h i j", "a b c")], "a string, b string", filters.word_window(C("a"), C("b"))) == [0]
     assert keep([("en_uk",), (None,), ("cs_uk",)], "p string", filters.of_pair(C("p"), None)) == [0, 1]
-    assert keep([("a", {"a": "x", "b": "y"}), ("c", {"a": "x", "b": "y"}), ("a", {"a": "x", "b": " "}), (None, {"a": "1", "b": "2"})], "k string, m map<string,string>", filters.keyed_question(C("k"), C("m"))) == [0]
+    assert keep([("x", ["x", "y "]), ("y", [" y ", "x", None]), ("a", ["x", "y"]), ("x", ["x", " "]), (None, ["x", "y"]), (" ", ["x", "y"]), ("x", list("xyzuvw"))], "k string, m array<string>", filters.keyed_question(C("k"), C("m"))) == [0, 1]
     assert keep([("2", ["a", "b"]), ("3", ["a", "b"]), ("x", ["a", "b"]), ("1", ["", "b"])], "k string, m array<string>", filters.numbered_question(C("k"), C("m"))) == [0]
     assert keep([(r"\frac{1}{2}",), (r"\фрак{1}",)], "t string", filters.sound_latex(C("t"))) == [0]
     assert keep([("довге речення тут",), ("коротко",)], "t string", filters.usable_choice(C("t"))) == [0]
@@ -119,9 +119,49 @@ def test_near_duplicates(spark):
     for i, j in itertools.combinations([0, 1, 100, 101], 2):
         a, b = grams(dict(rows)[i]), grams(dict(rows)[j])
         assert abs(np.mean(np.array(signed[i]) == np.array(signed[j])) - len(a & b) / len(a | b)) < 0.15
+    expected = {(i, j) for i, j in itertools.combinations(sorted(signed), 2) if np.mean(np.array(signed[i]) == np.array(signed[j])) >= 0.85}
+    assert {(r.a, r.b) for r in dedup.near_pairs(docs, "id", "text").collect()} == expected
     assert dedup.near_keep(docs.limit(0), "id", "text").count() == 0 and dedup.bloom_size(50_000_000, 0.001) == (718879378, 10)
 
 
+def test_a_bucket_led_by_an_unlike_row_loses_nothing(monkeypatch):
+    """Rows 1 and 2 agree in 0.86 of their places, row 0 is unlike both; also where the bucket is cut into slots."""
+    rng = np.random.default_rng(5)
+    a, b, c = rng.integers(0, 1 << 30, (3, 128)).astype(np.int32)
+    c[:110] = b[:110]
+    met = np.stack([a, b, c])
+    one = np.zeros(3, int)
+    assert [x[:2] for x in dedup._forest(met, one, False, 0.85)] == [x[:2] for x in dedup._all(met, one, False, 0.85)] == [(1, 2)]
+    assert [x[:2] for x in dedup._forest(met, np.array([0, 0, 1]), True, 0.85)] == [(1, 2)] and not dedup._forest(met, np.array([0, 1, 1]), True, 0.85)
+
+
+def test_slots_of_a_large_bucket_all_meet(spark, monkeypatch):
+    rng = random.Random(6)
+    base = rng.choices([f"w{i}" for i in range(900)], k=200)
+    rows = [(i, " ".join([*base, f"tail{i}"])) for i in range(12)] + [(50, " ".join(rng.choices([f"w{i}" for i in range(900)], k=90)))]
+    monkeypatch.setattr(dedup, "SLOT", 3)
+    docs = spark.createDataFrame(rows, "id long, text string")
+    assert {r.id for r in dedup.near_keep(docs, "id", "text").collect()} == {10, 50} and dedup.near_pairs(docs, "id", "text").count() == 66
+
+
+def test_stages_without_scores_and_passes(spark):
+    rows = [GOOD, GOOD]
+    assert reasons(spark, rows, stages=[9]) == {0: "composite", 1: "composite"}
+    assert [tuple(r) for r in run_passes(pairs(spark, rows), [[1, 5], [2]]).collect()] == [GOOD] and run_stages(pairs(spark, rows), [1, 5]).count() == 2
+    long = " ".join(f"Sentence number {i} has words of its own." for i in range(40))
+    near = [(long, GOOD[1]), (long + " End.", GOOD[1])]
+    assert reasons(spark, near, stages=[2]) == {0: "near", 1: None} and reasons(spark, near, stages=[2], near_threshold=None) == {0: None, 1: None}
+    assert corpora.CORPORA["nllb"].passes == ((1, 3, 4, 5, 6, 7, 8), (2,)) and all(c.near >= 0.9 for c in corpora.CORPORA.values())
+
+
+def test_other_orders_are_any_but_the_old_one(spark):
+    df = spark.range(400).select("id", F.array(*(F.struct(F.lit(m).alias("marker"), F.lit(m).alias("text")) for m in "абв")).alias("a"))
+    got = Counter(tuple(r.o) for r in df.select(records.another_order(C("a"), C("id")).alias("o")).collect())
+    assert set(got) == set(itertools.permutations(range(3))) - {(0, 1, 2)} and min(got.values()) > 30
+    few = df.limit(3).select(records.another_order(F.slice("a", 1, 2), C("id")).alias("two"), records.another_order(F.slice("a", 1, 1), C("id")).alias("one"), records.another_order(F.slice("a", 1, 0), C("id")).alias("none")).distinct().collect()
+    assert [tuple(r) for r in few] == [([1, 0], [0], [])]
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 140)]

@@ -56,8 +56,9 @@ def test_json(spark, tmp_path):
     write.json_array(spark.range(3), str(tmp_path / "arr.json"))
     assert json.loads((tmp_path / "arr.json").read_text()) == [{"id": 0}, {"id": 1}, {"id": 2}]
     assert write.archive(str(tmp_path / "o"), str(tmp_path / "o.zip"), "sub") >= 1 and zipfile.ZipFile(tmp_path / "o.zip").namelist()[0].startswith("sub/")
-    p = text(tmp_path / "rc.json", json.dumps([{"text": "t", "mcqs": [{"question": "q1", "choices": {"a": "1"}, "key": "a"}, {"question": "q2", "choices": {}, "key": "b"}]}]))
-    assert [r.question for r in read.passages(spark, p).collect()] == ["q1", "q2"]
+    p = text(tmp_path / "rc.json", json.dumps([{"text": " t ", "mcqs": [{"stem": "q1 ", "choices": ["x ", "", "y"], "key": " y"}, {"stem": "q2", "choices": ["x"], "key": "x"}, {"stem": "q3", "choices": ["x", "y"], "key": "z"}, {"stem": "q4", "choices": ["x", "y"], "key": None}]}]))
+    got = read.passages(spark, p).collect()
+    assert [(r.text, r.question, r.choices, r.key, [tuple(a) for a in r.answers], r.correct) for r in got] == [("t", "q1", ["x", "y"], "y", [("А", "x"), ("Б", "y")], "Б")]
 
 
 def test_other_files(spark, tmp_path):
