@@ -153,15 +153,19 @@ def prefixes(grams: np.ndarray, first: np.ndarray, expected: np.ndarray, thresho
     return doc[keep], g[keep], level[keep], own
 
 
-_SEEDS = tuple(np.uint64(x) for x in (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35, 0xC2B2AE3D27D4EB4F))
+_SEEDS = tuple(np.uint64(x) for x in (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
 def blocks(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Three blocks of each set: its least n-gram by three orders. Two sets share one with the probability of their similarity."""
+    """Three blocks of each set, each of its least n-grams by two orders. Two sets share one with the squared probability of their similarity; sets that have no more than a common n-gram in common hardly ever do."""
     x = grams.view(np.uint64)
-    return np.stack([textops.mix(np.minimum.reduceat(textops.mix(x ^ s), first[:-1]) + s) if len(x) else x for s in _SEEDS], axis=1).view(np.int64)
+    if not len(x):
+        return np.empty((0, len(_SEEDS) // 2), np.int64)
+    least = [np.minimum.reduceat((x ^ s) * _ODD, first[:-1]) for s in _SEEDS]
+    return np.stack([textops.mix(textops.mix(a) + b) for a, b in zip(least[::2], least[1::2])], axis=1).view(np.int64)
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _SCAN = "doc_id long, sig long, n int, blocks array<long>, part int, counts binary"
 _PART = 1 << 16
 
@@ -470,8 +474,8 @@ def _verified(texts: DataFrame, sets: DataFrame, placed: DataFrame, whole: DataF
                 grams, first, _ = gram_sets(text[i:j], n)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(signatures(grams, first)), pa.array(map(_deflate, text[i:j]), pa.binary())], names=["doc_id", "a", "body"])
 
-    wanted, _ = shared.parted(texts, "doc_id", shared.bitmap(uses, "doc_id"))
-    given = wanted.mapInArrow(give, "doc_id long, a long, body binary")
+    marks = shared.bitmap(uses, "doc_id")
+    given = shared.marked(texts, "doc_id", marks).mapInArrow(lambda it: give(shared.sided(it, marks, True)), "doc_id long, a long, body binary")
     columns = [x.split()[0] for x in _MET.split(", ")]
     sent = given.join(uses, ["doc_id", "a"]).withColumn("b", _null("long")).select(columns)
     pairs = placed.withColumns({"whole": F.lit(False), "slot": _null("int"), "copies": _null("long"), "body": _null("binary")}).select(columns)
@@ -505,10 +509,11 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, n: int = N, listed:
 
     # of the documents of a cluster's sets, the least of each set posts, and says which cluster it is in
     members = shared.save(docs.join(clusters, "sig").select("doc_id").distinct(), "members")
-    inside, outside = shared.parted(texts, "doc_id", shared.bitmap(members, "doc_id"))
-    givers = clusters.join(sets, "sig").select("doc_id", "sig", "root")
-    other = outside.unionByName(inside.join(members, "doc_id", "left_anti")).withColumns({"own": _null("long"), "root": F.lit(NONE)})
-    known = inside.join(givers, "doc_id").select("doc_id", "text", F.col("sig").alias("own"), "root")
+    marks = shared.bitmap(members, "doc_id")
+    inside, _ = shared.parted(texts, "doc_id", marks)
+    givers = clusters.join(sets, "sig").select("doc_id", F.col("sig").alias("own"), "root")
+    alone = {"own": _null("long"), "root": F.lit(NONE)}
+    apart = inside.join(members, "doc_id", "left_anti").withColumns(alone).unionByName(inside.join(givers, "doc_id"))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -523,7 +528,9 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, n: int = N, listed:
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(sig[doc]), pa.array((size[doc] << 16) | (level << 8) | own[doc]), pa.array(root[i:j][doc])], names=["gram", "sig", "meta", "cluster"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = other.unionByName(known).mapInArrow(post, "gram long, sig long, meta long, cluster long").repartition(parts, "gram")
+    schema = "gram long, sig long, meta long, cluster long"
+    outside = shared.marked(texts.withColumns(alone), "doc_id", marks).mapInArrow(lambda it: post(shared.sided(it, marks, False)), schema)
+    postings = outside.unionByName(apart.mapInArrow(post, schema)).repartition(parts, "gram")
     matched = postings.mapInArrow(lambda it: _pairs(it, threshold), "a long, b long, k int, n int").groupBy("a", "b", "k").agg(F.sum("n").alias("n")).where("n >= k")
     candidates = shared.save(matched.select("a", "b"), "candidates")
     placed = shared.save(_at_hubs(candidates), "placed")

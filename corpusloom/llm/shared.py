@@ -95,21 +95,28 @@ def bitmap(rows: DataFrame, key: str) -> Bitmap:
     return Bitmap(bits, spark.sparkContext.broadcast(zlib.compress(marks.tobytes(), 1)))
 
 
-def parted(df: DataFrame, key: str, marks: Bitmap) -> tuple[DataFrame, DataFrame]:
-    """The rows whose key may be marked, and all others (those of null keys among them), each with all columns."""
-    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-    at = f"c{df.columns.index(key)}"
+Batches = Iterator[pa.RecordBatch]
+
+
+def marked(df: DataFrame, key: str, marks: Bitmap) -> DataFrame:
+    """The rows with two more columns at the end, for sided()."""
+    return df.withColumn("__known", F.col(key).isNotNull()).withColumn("__bit", marks.column(key))
 
-    def side(wanted: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            mark = marks.load()
-            for b in batches:
-                if b.num_rows:
-                    bit, known = b.column(b.num_columns - 1).to_numpy(), b.column(b.num_columns - 2).to_numpy(zero_copy_only=False)
-                    hit = ((mark[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1) & known
-                    b = b.filter(pa.array(hit == wanted))
-                yield pa.RecordBatch.from_arrays(b.columns[:-2], schema=pa.schema(list(b.schema)[:-2]))
 
-        return plain.withColumn("known", F.col(at).isNotNull()).withColumn("bit", marks.column(at)).mapInArrow(run, plain.schema).toDF(*df.columns)
+def sided(batches: Batches, marks: Bitmap, wanted: bool) -> Batches:
+    """Of marked() rows those whose key may be marked, or all others (those of null keys among them), without the two columns. To be called inside a mapInArrow function: two of them in a row would need two Python workers a task."""
+    mark = marks.load()
+    for b in batches:
+        if b.num_rows:
+            bit, known = b.column(b.num_columns - 1).to_numpy(), b.column(b.num_columns - 2).to_numpy(zero_copy_only=False)
+            hit = ((mark[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1) & known
+            b = b.filter(pa.array(hit == wanted))
+        yield pa.RecordBatch.from_arrays(b.columns[:-2], schema=pa.schema(list(b.schema)[:-2]))
 
-    return side(True), side(False)
+
+def parted(df: DataFrame, key: str, marks: Bitmap) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be marked, and all others, each with all columns."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    rows = marked(plain, f"c{df.columns.index(key)}", marks)
+    near, rest = (rows.mapInArrow(lambda it, w=w: sided(it, marks, w), plain.schema).toDF(*df.columns) for w in (True, False))
+    return near, rest
