@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from .tables import saved
 
 PERMUTATIONS, BANDS = 128, 32
@@ -27,6 +28,13 @@ def exact(pairs: DataFrame, order: str = "seq") -> DataFrame:
     return first_of_each(pairs, ["source", "target"], [order])
 
 
+def first_questions(df: DataFrame, question: str, order: str, dedup: bool = True) -> DataFrame:
+    """The first row of each normalised question; without `dedup` every row."""
+    if not dedup:
+        return df
+    return first_of_each(df.withColumn("__key", T.question_key(F.col(question))), ["__key"], [order]).drop("__key")
+
+
 def by_priority(df: DataFrame, keys: list[str], priority: Column, order: str) -> DataFrame:
     """Of equal rows the one of the corpus that comes first."""
     return first_of_each(df, keys, [priority, order])
@@ -51,8 +59,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 _PROBES = (_mixed(np.arange(PERMUTATIONS * 512, dtype=np.uint64) + np.uint64(1)) % np.uint64(PERMUTATIONS)).astype(np.int64).reshape(PERMUTATIONS, 512)
 
 
-def signature(text: str, n: int = 5) -> np.ndarray:
-    """MinHashes of a text's lower-case character n-grams: one hash a gram, the least of each of 128 bins, empty bins filled from others (Shrivastava 2017). A text of fewer than n characters is one gram."""
+def signature(text: str, n: int = 5, short_alike: bool = False) -> np.ndarray:
+    """MinHashes of a text's lower-case character n-grams: one hash a gram, the least of each of 128 bins, empty bins filled from others (Shrivastava 2017). A text of fewer than n characters is one gram; with `short_alike` all such texts are alike."""
+    if short_alike and len(text) < n:
+        return np.zeros(PERMUTATIONS, np.int32)
     cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     m = max(1, len(cp) - n + 1)
     h = np.zeros(m, np.uint64)
@@ -73,13 +83,13 @@ def signature(text: str, n: int = 5) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
+def signatures(docs: DataFrame, key: str, text: str, n: int = 5, short_alike: bool = False) -> DataFrame:
     """key and `signature`: 128 MinHashes of the character n-grams. One pass in numpy, nothing is shuffled; null texts have none."""
     rows = docs.where(F.col(text).isNotNull()).select(key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            signed = [signature(t, n) for t in b.column(1).to_pylist()]
+            signed = [signature(t, n, short_alike) for t in b.column(1).to_pylist()]
             flat = np.concatenate(signed) if signed else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, PERMUTATIONS, dtype=np.int32), pa.array(flat))], names=[key, "signature"])
 

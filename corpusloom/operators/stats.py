@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .sample import capped, chosen
 
 
 def reasons(df: DataFrame, reason: str = "reason") -> DataFrame:
@@ -38,6 +39,14 @@ def _measures() -> dict[str, Column]:
     return {"src_chars": F.length(src), "tgt_chars": F.length(tgt), "char_ratio": F.length(src) / F.greatest(F.length(tgt), F.lit(1)), "word_ratio": parts(src) / F.greatest(parts(tgt), F.lit(1))}
 
 
+def stage_report(df: DataFrame, stages: list[str], failed: str = "failed_stage", reason: str = "reason") -> DataFrame:
+    """stage_stats() with the stage's place `i` and `reasons`, a map of the counts of each reason."""
+    order = F.create_map(*(x for i, s in enumerate(stages) for x in (F.lit(s), F.lit(i))))
+    counts = df.where(F.col(failed).isNotNull()).groupBy(F.col(failed).alias("stage"), F.col(reason).alias("r")).agg(F.count("*").alias("k"))
+    maps = counts.groupBy("stage").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("r", F.lit("none")), "k")))).alias("reasons"))
+    return stage_stats(df, stages, failed, reason).join(F.broadcast(maps), "stage", "left").withColumn("i", order[F.col("stage")])
+
+
 def calibrated(pairs: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """measure, low, high: exact percentiles (of the values that occur) of lengths and ratios."""
     long = pairs.select(F.explode(F.create_map(*(x for k, c in _measures().items() for x in (F.lit(k), c.cast("double"))))).alias("measure", "value"))
@@ -58,18 +67,36 @@ def described(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("column").agg(F.avg("v").alias("mean"), *at, F.min("v").alias("min"), F.max("v").alias("max"))
 
 
-def corpus(df: DataFrame, group: str, text: str) -> DataFrame:
-    """Per group: documents, and characters at the ends and at 25, 50, 75 and 95 per cent of the sorted rows (row int(n·p), 1 at least).
+def corpus(df: DataFrame, group: str, text: str, measure: Column | None = None) -> DataFrame:
+    """Per group: documents, and characters (or another measure) at the ends and at 25, 50, 75 and 95 per cent of the sorted rows (row int(n·p), 1 at least).
 
     Lengths are counted first, so what is sorted is distinct lengths and not rows.
     """
-    sizes = df.groupBy(group, F.length(text).alias("len")).agg(F.count("*").alias("k"))
+    sizes = df.groupBy(group, (F.length(text) if measure is None else measure).alias("len")).agg(F.count("*").alias("k"))
     w = Window.partitionBy(group)
     ranked = sizes.withColumn("upto", F.sum("k").over(w.orderBy("len"))).withColumn("n", F.sum("k").over(w))
     at = [F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.floor(F.col("n") * p)), F.col("len"))).alias(f"p{int(p * 100)}") for p in (0.25, 0.5, 0.75, 0.95)]
     return ranked.groupBy(group).agg(F.max("n").alias("n"), F.min("len").alias("min"), *at, F.max("len").alias("max"))
 
 
+def described_corpus(df: DataFrame, group: str, text: str, key: str, samples: int = 4, seed: int = 42) -> DataFrame:
+    """Per group: corpus() of characters and of words, and a random sample of rows' keys."""
+    measures = [corpus(df, group, text, m).select(group, *(F.col(c).alias(f"{name}_{c}") for c in ("min", "p25", "p50", "p75", "p95", "max")), *(["n"] if name == "chars" else [])) for name, m in (("chars", F.length(text)), ("words", T.word_count(F.col(text))))]
+    chosen = capped(df.select(group, key), group, key, {}, samples, seed).groupBy(group).agg(F.array_sort(F.collect_list(key)).alias("sample"))
+    return measures[0].join(measures[1], group).join(chosen, group)
+
+
+def audited(judged: DataFrame, rate: float, key: str = "seq", seed: int = 42) -> DataFrame:
+    """A random share of the rejected rows, for people to look at."""
+    return judged.where(F.col("failed_stage").isNotNull() & chosen(rate, seed, key))
+
+
+def grouped_variants(df: DataFrame, question: str, order: str) -> DataFrame:
+    """Rows by the normalised question, each group's rows as structs in order."""
+    rows = F.array_sort(F.collect_list(F.struct(order, *(c for c in df.columns if c != order))))
+    return df.groupBy(T.question_key(F.col(question)).alias("key")).agg(rows.alias("variants"), F.count("*").alias("n"))
+
+
 def document_stats(df: DataFrame, words: Column) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.avg(words).alias("mean"), F.min(words).alias("min"), F.max(words).alias("max"))
 

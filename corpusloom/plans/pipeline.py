@@ -128,6 +128,11 @@ def statistics(judged: DataFrame, stages: list[int] | str) -> DataFrame:
     return stats.stage_stats(judged, [STAGES[k] for k in selected(stages)])
 
 
+def report(judged: DataFrame, stages: list[int] | str) -> DataFrame:
+    """statistics() with each stage's reasons; write.statistics() makes a file of it."""
+    return stats.stage_report(judged, [STAGES[k] for k in selected(stages)])
+
+
 def with_calibration(pairs: DataFrame, config: Config) -> Config:
     """The configuration with length, character ratio and word ratio bounds at the 2.5 and 97.5 per cent points of the data. Four rows come to the driver."""
     from dataclasses import replace

@@ -42,7 +42,7 @@ def boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decimals to fractions, marks and boxes gone, the answer boxed."""
-    body = F.concat(F.substring("text", 1, 1 << 30), F.lit(" <<3*.5=1.5>> so 0,25 and \\boxed{1.5}"))
+    body = F.concat("text", F.lit(" <<3*.5=1.5>> so 0,25 and \\boxed{1.5}"))
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(maths.finished(body, F.lit("1.5"))).alias("digest"))
 
 
@@ -93,7 +93,7 @@ def metric_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bleu_chrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistants' turns scored against the users' turns before them."""
     p = pairs_from_turns(spark, sf_dir)
-    return evaluate.bleu(p, "seq", "target", "source").crossJoin(evaluate.chrf(p, "seq", "target", "source"))
+    return evaluate.bleu(p, "seq", "target", "source").join(evaluate.chrf(p, "seq", "target", "source")).select(F.round("bleu", 4).alias("bleu"), F.round("chrf", 4).alias("chrf"))
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:

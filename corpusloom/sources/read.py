@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -24,6 +26,11 @@ def tsv(spark: SparkSession, path: str, schema: str = PAIR, quoted: bool = False
     return reader.option("quote", '"' if quoted else "").csv(path)
 
 
+def tsv_columns(spark: SparkSession, path: str, rows: int = 1_000_000) -> DataFrame:
+    """The first rows of a table with all its columns as text, for calibration and descriptions."""
+    return spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(path).limit(rows)
+
+
 def pairs_tsv(spark: SparkSession, path: str, source: str = "source", target: str = "target", cap: int | None = None, seed: int = 42) -> DataFrame:
     """The two columns of a table, found by its header, without rows that lack a side; at most `cap` of them, at random. A path without files gives no rows."""
     try:
@@ -36,6 +43,12 @@ def pairs_tsv(spark: SparkSession, path: str, source: str = "source", target: st
     return both if cap is None else both.orderBy(draw(seed, "source", "target")).limit(cap)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = jvm.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jvm)
+    return found is not None and len(found) > 0
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """ord (from 0) and line of text files, in their order.
 
@@ -53,7 +66,9 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parallel(spark: SparkSession, source: str, target: str, ids: str | None = None, strip_numbers: bool = False, strict: bool = False) -> DataFrame:
-    """seq, source, target (and id) of line-aligned files. Pairs with a blank side go after the lines are aligned, so nothing shifts; what one file has beyond the other is left out, or with `strict` is an error."""
+    """seq, source, target (and id) of line-aligned files. Pairs with a blank side go after the lines are aligned, so nothing shifts; what one file has beyond the other is left out, or with `strict` is an error. Files that aren't there give no rows, unless `strict`."""
+    if not strict and not all(exists(spark, p) for p in (source, target)):
+        return spark.createDataFrame([], "seq long, source string, target string" + (", id string" if ids else ""))
     left, right = numbered_lines(spark, source), numbered_lines(spark, target)
     if strict and (a := left.count()) != (b := right.count()):
         raise ValueError(f"{source} has {a} lines, {target} {b}")
@@ -64,8 +79,9 @@ def parallel(spark: SparkSession, source: str, target: str, ids: str | None = No
     return out.where(filled(F.col("source"), F.col("target"))).withColumnRenamed("ord", "seq")
 
 
-def moses_zip(spark: SparkSession, path: str, source: str, target: str) -> DataFrame:
-    """file, seq, source, target (and id) of zip archives that hold files by language extension. One archive is read by one task."""
+def moses_zip(spark: SparkSession, path: str, source: str, target: str, strip_numbers: bool = False, strict: bool = False) -> DataFrame:
+    """file, seq, source, target (and id) of zip archives that hold files by language extension. One archive is read by one task, line by line. With `strip_numbers` a number and a tab before a line go; with `strict`, sides of different length are an error."""
+    number = re.compile(r"^\s*\d+\s*\t") if strip_numbers else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -76,7 +92,11 @@ def moses_zip(spark: SparkSession, path: str, source: str, target: str) -> DataF
                         continue
                     handles = [io.TextIOWrapper(z.open(n), "utf-8", "replace", newline="\n") if n else None for n in sides.values()]
                     rows: list[tuple] = []
-                    for i, (s, t) in enumerate(zip(handles[0], handles[1])):
+                    for i, (s, t) in enumerate(zip_longest(handles[0], handles[1]) if strict else zip(handles[0], handles[1])):
+                        if s is None or t is None:
+                            raise ValueError(f"{name}: the sides differ in length from line {i + 1} on")
+                        if number:
+                            s, t = number.sub("", s), number.sub("", t)
                         key = handles[2].readline().rstrip("\n") if handles[2] else None
                         if s.strip() and t.strip():
                             rows.append((name, i, s.strip(), t.strip(), key))

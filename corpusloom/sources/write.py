@@ -62,3 +62,16 @@ def resumed(inputs: DataFrame, path: str, key: str, work, schema: str) -> DataFr
     left = inputs if not there else inputs.join(spark.read.schema(schema).parquet(path).select(key), key, "left_anti")
     work(left).write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def statistics(table: DataFrame, path: str, pair: str, dataset: str) -> dict:
+    """A pipeline's statistics (stage, n_in, n_out, n_rejected, retention, reasons; a row for each stage) as one JSON file, and what it says."""
+    import json
+
+    stages = [{"stage": r.stage, "n_in": r.n_in, "n_out": r.n_out, "n_rejected": r.n_rejected, "retention_pct": r.retention, "reject_reasons": dict(sorted((r.reasons or {}).items()))} for r in table.orderBy("i").collect()]
+    said: dict = {"lang_pair": pair, "dataset": dataset, "stages": stages}
+    if stages:
+        said |= {"total_in": stages[0]["n_in"], "total_out": stages[-1]["n_out"]}
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(said, ensure_ascii=False, indent=2), "utf-8")
+    return said
