@@ -47,6 +47,8 @@ SAMPLES = 3
 SLICE_WORDS = 5_000_000
 _PAD = np.uint64(0)
 _TABLE_BITS = 22
+#: Numbers in a row of the tables of exact verification, which hold several such rows.
+_CELLS = 1 << 20
 
 
 #: Words over which a repetition's samples spread; a walk takes two steps a word on average.
@@ -123,16 +125,28 @@ class Index:
             order = np.argsort(head, kind="stable")
             item, offset, at, head = item[order], offset[order], at[order], head[order]
             code = self.walks.embed(r, self.symbols, at, self.first[item + 1]) if len(at) else head
-            bits = np.zeros(1 << _TABLE_BITS, bool)
-            bits[head >> np.uint64(64 - _TABLE_BITS)] = True
-            self.tables.append((bits, head, item, offset, code))
+            self.tables.append((head, item, offset, code))
+        self.marks: list[np.ndarray] = []
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"marks": []}  # made where they are used: they are many times as large as what they are made of
+
+    def marked(self) -> list[np.ndarray]:
+        """For each repetition whether any first symbol begins with these bits."""
+        if not self.marks:
+            for head, *_ in self.tables:
+                bits = np.zeros(1 << _TABLE_BITS, bool)
+                bits[head >> np.uint64(64 - _TABLE_BITS)] = True
+                self.marks.append(np.packbits(bits, bitorder="little"))
+        return self.marks
 
     def candidates(self, symbols: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Distinct (document, item, start of the window as a word position of the chunk)."""
         out = []
         top = symbols >> np.uint64(64 - _TABLE_BITS)
-        for r, (bits, head, item, offset, code) in enumerate(self.tables):
-            at = np.flatnonzero(bits[top])
+        byte, bit = (top >> np.uint64(3)).astype(np.int64), (top & np.uint64(7)).astype(np.uint8)
+        for r, (bits, (head, item, offset, code)) in enumerate(zip(self.marked(), self.tables)):
+            at = np.flatnonzero((bits[byte] >> bit) & 1)
             lo, hi = np.searchsorted(head, symbols[at], "left"), np.searchsorted(head, symbols[at], "right")
             k = textops.ragged(lo, hi - lo)
             at = np.repeat(at, hi - lo)
@@ -166,8 +180,13 @@ class Index:
         slack = np.ceil(size * self.max_edits).astype(np.int64)
         lo = np.maximum(at - slack, w.first[d])
         hi = np.minimum(at + size + slack, w.first[d + 1])
-        for i in range(0, len(d), 512):
-            s = slice(i, i + 512)
+        order = np.argsort(size, kind="stable")  # alike sizes together
+        d, k, lo, hi, size = d[order], k[order], lo[order], hi[order], size[order]
+        i = 0
+        while i < len(d):
+            most_wide = max(1, _CELLS // max(1, int((hi - lo)[i : i + 512].max())))
+            s = slice(i, i + min(512, most_wide))
+            i = s.stop
             dist = distances(self.symbols, self.first[k[s]], size[s], w.hash, lo[s], hi[s] - lo[s])
             for x, y, z, most in zip(d[s].tolist(), k[s].tolist(), dist.tolist(), (self.max_edits * size[s]).tolist()):
                 if z <= most and z < best.get((x, y), 1 << 30):

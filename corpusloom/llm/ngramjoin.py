@@ -70,7 +70,7 @@ GRAM_CELLS = 1 << 22
 MOST = 4
 POSTING_COST = 1.0
 #: Most sets and n-grams of a slot of a meeting.
-BLOCK = 1024
+BLOCK = 512
 MEETING_GRAMS = 1 << 22
 #: No cluster.
 NONE = -(1 << 63)
@@ -487,6 +487,7 @@ def _verified(texts: DataFrame, sets: DataFrame, placed: DataFrame, whole: DataF
 def join(documents: DataFrame, threshold: float = THRESHOLD, n: int = N, listed: bool = False, links: bool = True) -> Joined:
     """With `listed` every pair of different sets, else links and forests; without `links` the forests alone."""
     spark = documents.sparkSession
+    shared.small_batches(spark)
     texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     scanned = shared.save(texts.mapInArrow(lambda it: _scan(it, n), _SCAN), "signatures")
     rows = scanned.where("part is null")
@@ -537,7 +538,9 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, n: int = N, listed:
     found = _verified(texts, sets, placed, _whole(clusters, sets) if listed or links else None, threshold, n, listed)
     if not listed and not links:
         found = found.unionByName(near.select("a", "b", _null("long").alias("links"), _null("double").alias("jaccard")))
-    return Joined(docs, sets, shared.save(found, "found"))
+    found = shared.save(found, "found")
+    shared.drop(spark, tried, near, clusters, members, candidates, placed)
+    return Joined(docs, sets, found)
 
 
 def similar_sets(documents: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:

@@ -28,6 +28,17 @@ def folder(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch. Texts are long, and a batch lies in the memory of the JVM and of its Python worker at once.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """At most ARROW_ROWS rows a batch from here on, in this session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+
+
 def save(df: DataFrame, what: str) -> DataFrame:
     """The rows as a table in the shared folder: it cuts the lineage and outlives executors."""
     path = folder(df.sparkSession, what)
@@ -35,6 +46,14 @@ def save(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes saved tables. Only what nothing reads any more: results of theirs must have been saved."""
+    for t in tables:
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def filtered(docs: DataFrame, run) -> DataFrame:
     """mapInArrow that keeps rows with all their columns, whatever the columns' names (a name may hold dots)."""
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
