@@ -13,7 +13,11 @@ renewed.
 
 `recount` applies the edits that `rules` make (default: long digit runs, such as
 card and phone numbers, are masked) to whole texts; `recount_edits` takes edits
-from an array column.
+from an array column.  Both count a document that has an edit by its tree, and write
+no trees.  `kept` makes a table of trees (boundaries and leaf counts of every
+document); `edited` applies edits to such a table and gives it as it is afterwards,
+so a later batch of edits encodes nothing but the regions that it touches.  A region
+that was re-encoded is one leaf from then on, with the sum of its pre-tokens.
 
 Defined results: a null text counts as empty; edits are applied from the left,
 an edit that overlaps an earlier one or lies outside the text is ignored (and
@@ -84,12 +88,16 @@ class Tree:
 
 
 class Document:
-    """A text with its pre-token boundaries and, from the first edit on, its count tree."""
+    """A text with the starts of its leaves, in order, and their count tree. Leaves that an edit has merged have one start, and their sum stands in the first of them."""
 
     def __init__(self, text: str, starts: list[int], counts: np.ndarray) -> None:
         self.text, self.starts = text, starts
         self.tree = Tree(counts)
 
+    @property
+    def counts(self) -> np.ndarray:
+        return self.tree.node[self.tree.n : self.tree.n + len(self.starts)]
+
     def edit(self, edits: list[Edit], count: Callable[[str], int]) -> tuple[int, int, int]:
         """Applies edits (start, end, new text); numbers applied, ignored and of pre-tokens re-encoded. `count` gives the tokens of a pre-token."""
         good, last = [], 0
@@ -107,15 +115,20 @@ class Document:
         text = "".join([*parts, self.text[at:]])
         starts, scan, again, k = self.starts, pretokens.compiled().match, 0, 0
 
+        def first(leaf: int) -> int:
+            return bisect_left(starts, starts[leaf]) if starts else 0
+
         def leaf_of(edit: tuple[int, int, str]) -> int:
-            """The pre-token of the second character before the edit, or of the row of blanks that ends at its start."""
-            leaf = max(0, bisect_right(starts, edit[0] - 2) - 1)
-            return leaf - 1 if leaf and self.text[starts[leaf] - 1].isspace() else leaf
+            """The leaf of the second character before the edit, or of the row of blanks that ends at its start."""
+            leaf = first(max(0, bisect_right(starts, edit[0] - 2) - 1))
+            return first(leaf - 1) if leaf and self.text[starts[leaf] - 1].isspace() else leaf
 
+        moved = np.zeros(len(starts) + 1, np.int64)  # differences of what is added to each start
+        flat: list[tuple[int, int, int]] = []
         while k < len(good):
             leaf = leaf_of(good[k])
-            left = starts[leaf] if starts else 0
-            pos, total, hi = left + (shifts[k - 1] if k else 0), 0, -1
+            left, before = starts[leaf] if starts else 0, shifts[k - 1] if k else 0
+            pos, total, hi = left + before, 0, -1
             while hi < 0:
                 if pos >= ends[k]:
                     old = pos - shifts[k]
@@ -134,7 +147,13 @@ class Document:
                 again += 1
                 pos = end
             self.tree.assign(leaf, hi, total)
+            flat.append((leaf, hi, left + before))
+            moved[min(hi, len(starts))] += shifts[k] - before
             k += 1
+        places = np.asarray(starts, np.int64) + np.cumsum(moved[:-1])
+        for leaf, hi, at in flat:
+            places[leaf:hi] = at
+        self.starts = places.tolist() or [0] * bool(text)
         self.text = text
         return len(good), len(edits) - len(good), again
 
@@ -179,6 +198,62 @@ def _run(path: str, edits_of: Callable[[str], list] | None) -> Callable[[Iterato
     return run
 
 
+KEPT = "doc_id long, text string, starts array<int>, counts array<int>, n_tokens long"
+EDITED = KEPT + ", n_edits long, n_ignored long, n_reencoded long"
+_NAMES = [x.split()[0] for x in EDITED.split(", ")]
+
+
+def _lists(rows: list) -> pa.Array:
+    return pa.array([np.asarray(x, np.int32) for x in rows], pa.list_(pa.int32()))
+
+
+def kept(docs: DataFrame, path: str = bpe.VOCABULARY) -> DataFrame:
+    """doc_id, text, its leaves' starts and counts, n_tokens. Null texts are empty ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = bpe.load(path)
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for i, j in textops.chunks(texts):
+                joined, begin, end = pretokens.starts(texts[i:j])
+                tokens = coder.counts([joined[x:y] for x, y in zip(begin.tolist(), end.tolist())])
+                base = np.concatenate(([0], np.cumsum(np.fromiter(((len(t) + 1) for t in texts[i:j]), np.int64, j - i))))
+                edge = np.searchsorted(begin, base)
+                spans = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
+                starts, leaves = [begin[x:y] - base[d] for d, (x, y) in enumerate(spans)], [tokens[x:y] for x, y in spans]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(texts[i:j]), _lists(starts), _lists(leaves), pa.array([int(x.sum()) for x in leaves], pa.int64())], names=_NAMES[:5])
+
+    return docs.select("doc_id", "text").mapInArrow(run, KEPT)
+
+
+def edited(trees: DataFrame, path: str = bpe.VOCABULARY) -> DataFrame:
+    """A table of kept() with a column `edits` (array<struct<start:int,end:int,text:string>>) as it is after them, and the numbers of edits applied, ignored, and of pre-tokens encoded. Rows without edits cost nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = bpe.load(path)
+
+        def count(piece: str) -> int:
+            return int(coder.counts([piece])[0])
+
+        for b in batches:
+            texts, starts, leaves, given = b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()
+            totals, did = [], []
+            for d, edits in enumerate(given):
+                asked = [(e["start"], e["end"], e["text"]) for e in edits or [] if e]
+                if asked:
+                    doc = Document(texts[d] or "", starts[d] or [], np.array(leaves[d] or [], np.int64))
+                    did.append(doc.edit(asked, count))
+                    texts[d], starts[d], leaves[d] = doc.text, doc.starts, doc.counts
+                    totals.append(doc.tree.total)
+                else:
+                    did.append((0, 0, 0))
+                    totals.append(sum(leaves[d] or []))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), _lists(starts), _lists(leaves), pa.array(totals, pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*did))] if b.num_rows else [], names=_NAMES if b.num_rows else [])
+
+    rows = trees.select("doc_id", "text", "starts", "counts", "edits")
+    return rows.mapInArrow(lambda it: run(b for b in it if b.num_rows), EDITED)
+
+
 def recount(docs: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, path: str = bpe.VOCABULARY) -> DataFrame:
     """Token counts before and after the edits that the rules make."""
     return docs.select("doc_id", "text").mapInArrow(_run(path, by_rules(rules)), SCHEMA)

@@ -164,6 +164,41 @@ def test_edited_counts_equal_a_full_recount(data):
     assert doc.tree.total == len(coder.encode([expected])[0])
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_rounds_of_edits_equal_a_full_recount(data):
+    letters = st.text(st.sampled_from("ab'srevl  1\n.é🙂"), max_size=20)
+    text = data.draw(letters)
+    coder = bpe.load(bpe.VOCABULARY)
+    _, begin, end = pretokens.starts([text])
+    doc = counts.Document(text, begin.tolist(), coder.counts([text[a:b] for a, b in zip(begin.tolist(), end.tolist())]))
+    for _ in range(data.draw(st.integers(2, 5))):
+        place = st.integers(0, len(text))
+        edits = [(min(a, b), max(a, b), new) for a, b, new in data.draw(st.lists(st.tuples(place, place, letters), max_size=3))]
+        doc.edit(edits, lambda p: int(coder.counts([p])[0]))
+        text, _ = apply(text, edits)
+        assert doc.text == text and doc.tree.total == len(coder.encode([text])[0]) == int(doc.counts.sum())
+        assert doc.starts == sorted(doc.starts) and len(doc.counts) == len(doc.starts)
+        doc = counts.Document(doc.text, doc.starts, doc.counts)  # as a table gives it back
+
+
+def test_kept_trees_take_up_later_edits(spark):
+    rng = np.random.default_rng(5)
+    texts = ["one two three", "", None, prose(rng, 20_000), "same"]
+    trees = counts.kept(spark.createDataFrame([*rows(texts), (None, "x y", None, None, None)], DOCS))
+    coder, now = bpe.load(bpe.VOCABULARY), {i: t or "" for i, t in enumerate(texts)} | {None: "x y"}
+    for round_ in range(3):
+        given = {i: [(min(3, len(t)), min(5, len(t)), f" new{round_}")] for i, t in now.items() if i != 4}
+        edits = spark.createDataFrame([(i, x) for i, x in given.items()], "id long, edits array<struct<start:int,end:int,text:string>>")
+        joined = trees.join(edits, trees.doc_id.eqNullSafe(edits.id), "left").drop("id")
+        done = counts.edited(joined).cache()
+        for r in done.collect():
+            now[r.doc_id] = apply(now[r.doc_id], given.get(r.doc_id, []))[0]
+            assert r.text == now[r.doc_id] and r.n_tokens == len(coder.encode([r.text])[0]) and r.n_reencoded <= 12 * (round_ + 1) and r.n_edits == (r.doc_id != 4)
+        trees = done.select(*trees.columns)
+    assert counts.edited(joined.limit(0)).count() == counts.kept(spark.createDataFrame([], DOCS)).count() == 0
+
+
 def test_recount(spark):
     rng = np.random.default_rng(4)
     texts = ["call 5551234567 or 18005551234 now", "", None, "nothing here", prose(rng, 50_000) + " 1234567890 " + prose(rng, 50_000)]
