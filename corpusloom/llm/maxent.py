@@ -18,7 +18,10 @@ the probabilities of all counted words, and of one unseen word a place, sum to o
 2. Training is distributed: from the broadcast weights every partition takes
    gradient steps over all of its words, in batches of sparse rows (only rows of
    features that occur are touched), and sends what changed, in half precision by
-   blocks of rows; changes are averaged by words seen.  ROUNDS such passes.
+   blocks of rows; changes are averaged by words seen, in steps of FAN partitions a
+   task.  ROUNDS such passes.  As every partition trains by itself, weights depend on
+   how the corpus is partitioned (not on which executor works on what, nor on tasks
+   that are run again); there is no random draw.
 3. Scoring runs the forward pass over the same sparse batches. Counts of the most
    frequent other words (TABLE at most) go along; where the vocabulary is larger,
    the rest of each text's words are joined with the table of counts.
@@ -55,7 +58,9 @@ ROWS = 1 << 14  # row numbers of all factors, (2 + LEVELS) * ROWS, must fit 16 b
 ROUNDS = 1
 RATE = 0.5
 BATCH = 8192
-_BLOCK = 1024
+_BLOCK = 256
+#: Partitions whose changes one task combines; more of them are combined in steps.
+FAN = 64
 _KINDS = 3
 
 
@@ -122,8 +127,9 @@ def _features(model: Model, w: textops.Words) -> Features:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    np.exp(np.minimum(x, 60, out=x), out=x)
-    x *= 1 / (x.sum(axis=1, keepdims=True) + np.float32(1e-30))
+    """Logits are held within 60 of zero, so every sum is far from zero and from infinity, and probabilities add up to one."""
+    np.exp(np.clip(x, -60, 60, out=x), out=x)
+    x *= 1 / x.sum(axis=1, keepdims=True)
     return x
 
 
@@ -331,20 +337,27 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> Model:
             weights, seen = train_on(sent.value, _texts(batches, 0), step)
             if seen:
                 change = (weights - sent.value.weights).astype(np.float16).reshape(-1, _BLOCK * CLASS)
+                part = TaskContext.get().partitionId()
                 for k, block in enumerate(change):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([seen], pa.int64()), pa.array([block.tobytes()])], names=["block", "seen", "change"])
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([seen], pa.int64()), pa.array([block.tobytes()])], names=["part", "block", "seen", "change"])
 
-        def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, list] = {}
+        def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple[int, int], list] = {}
             for b in batches:
-                for k, seen, raw in zip(*(b.column(c).to_pylist() for c in range(3))):
-                    s = sums.setdefault(k, [0, np.zeros(_BLOCK * CLASS)])
+                for part, k, seen, raw in zip(*(b.column(c).to_pylist() for c in range(4))):
+                    s = sums.setdefault((part, k), [0, np.zeros(_BLOCK * CLASS)])
                     s[0] += seen
-                    s[1] += seen * np.frombuffer(raw, np.float16).astype(np.float64)
-            for k, (seen, total) in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(total / seen).astype(np.float32).tobytes()])], names=["block", "change"])
-
-        changes = docs.select("text").mapInArrow(run, "block int, seen long, change binary").repartition("block").mapInArrow(average, "block int, change binary")
+                    s[1] += seen * np.frombuffer(raw, np.float16 if len(raw) == 2 * _BLOCK * CLASS else np.float32).astype(np.float64)
+            for (part, k), (seen, total) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([seen], pa.int64()), pa.array([(total / seen).astype(np.float32).tobytes()])], names=["part", "block", "seen", "change"])
+
+        schema, texts = "part int, block int, seen long, change binary", docs.select("text")
+        changes, left = texts.mapInArrow(run, schema), texts.rdd.getNumPartitions()
+        while True:
+            left = -(-left // FAN)
+            changes = changes.withColumn("part", (F.col("part") / FAN).cast("int")).repartition("part", "block").mapInArrow(combined, schema)
+            if left <= 1:
+                break
         weights = model.weights.copy()
         for row in changes.toLocalIterator():
             weights[row.block * _BLOCK : (row.block + 1) * _BLOCK] += np.frombuffer(row.change, np.float32).reshape(_BLOCK, CLASS)

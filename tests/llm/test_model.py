@@ -1,5 +1,7 @@
 """Language-model scoring by held-out texts."""
 
+import math
+
 import numpy as np
 
 from corpusloom.llm import maxent
@@ -36,6 +38,59 @@ def test_probabilities_sum_to_one():
     assert abs((c[ids, by_class] * x[ids, ids % maxent.CLASS]).sum() - 1) < 1e-4
 
 
+def plain_softmax(x):
+    e = [math.exp(max(-60.0, min(60.0, float(v)))) for v in x]
+    return [v / sum(e) for v in e]
+
+
+def small_model(rng, scale=1.0):
+    size = (2 * maxent.ROWS, maxent.CLASS)
+    return maxent.Model(np.empty(0, np.uint64), np.empty(0, np.int64), rng.normal(scale=scale, size=size).astype(np.float32), rng.normal(size=maxent.CLASSES).astype(np.float32), rng.normal(size=(maxent.CLASSES, maxent.CLASS)).astype(np.float32))
+
+
+def test_forward_pass_and_gradient_step_equal_plain_loops():
+    rng = np.random.default_rng(6)
+    model = small_model(rng)
+    n = 7
+    ids = rng.integers(0, maxent.CLASS * maxent.CLASSES, n)
+    rows_c, rows_w = rng.integers(0, 5, (3, n)), maxent.ROWS + rng.integers(0, 5, (3, n))
+    c, x = maxent._forward(model, ids, rows_c, rows_w)
+    for i in range(n):
+        a, b = model.class_bias.astype(float), model.word_bias[ids[i] // maxent.CLASS].astype(float)
+        for k in range(3):
+            a, b = a + model.weights[rows_c[k, i]], b + model.weights[rows_w[k, i]]
+        assert np.allclose(c[i], plain_softmax(a), atol=1e-5) and np.allclose(x[i], plain_softmax(b), atol=1e-5)
+    weights, energy = model.weights.astype(float), np.zeros(len(model.weights))
+    probabilities, wanted, rate = c.astype(float).copy(), ids // maxent.CLASS, 0.5
+    mine = model._replace(weights=model.weights.copy())
+    maxent._step(mine, np.zeros(len(model.weights), np.float32), rows_c, wanted, c.copy(), rate)
+    for k in range(3):
+        for row in sorted(set(rows_c[k].tolist())):
+            total = np.zeros(maxent.CLASS)
+            for i in range(n):
+                if rows_c[k, i] == row:
+                    total += [p - (j == wanted[i]) for j, p in enumerate(probabilities[i])]
+            energy[row] += (total**2).sum()
+            weights[row] -= total * rate / math.sqrt(energy[row] + 1e-6)
+    assert np.allclose(mine.weights, weights, atol=1e-4)
+
+
+def test_probabilities_add_up_for_any_logits():
+    rng = np.random.default_rng(7)
+    for scale in (1.0, 100.0):
+        x = rng.normal(-scale, scale, (50, maxent.CLASS)).astype(np.float32)
+        assert np.allclose(maxent._softmax(x.copy()).sum(axis=1), 1, atol=1e-5)
+    assert np.allclose(maxent._softmax(np.full((2, maxent.CLASS), -500, np.float32)), 1 / maxent.CLASS)
+
+
+def test_changes_combine_in_steps(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    docs = spark.createDataFrame([(i, grammar(rng, 100)) for i in range(30)], "doc_id long, text string").repartition(9, "doc_id")
+    once = maxent.fit(docs).weights
+    monkeypatch.setattr(maxent, "FAN", 2)
+    assert np.allclose(maxent.fit(docs).weights, once, atol=1e-5) and np.abs(once).max() > 0.1
+
+
 def test_scores_of_odd_rows(spark):
     rng = np.random.default_rng(3)
     rows = [(1, "a b c", 0.0), (1, "a b c", 0.0), (2, None, 0.0), (3, "", 0.0), (None, "a b", 0.0), (4, "?!", 0.0), (5, grammar(rng, 100_000), 0.0)]
