@@ -180,12 +180,40 @@ class Index:
         return out
 
 
+LOCATED = "key string, id long, url string, block long, file string, offset long, length long"
 FOUND = "key string, id long, url string, block long, offset long, length long, payload string"
+#: Bits of an offset within one range of a file; records of a range are read by one task, in order.
+_RANGE = 26
 
 
 def lookup(keys: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
     """Every capture of the distinct keys, with its payload.
 
+    Entries are found by index file; then records are read by ranges of the stored
+    files, in order, so reading is spread as the records are and not as the index is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, out, size = Index(folder, []), [], 0
+        for b in batches:
+            for key, i, url, block, file, offset, length in zip(*(b.column(k).to_pylist() for k in range(7))):
+                payload = payload_of(index.read(file, offset, length)).decode("utf-8", "replace")
+                out.append((key, i, url, block, offset, length, payload))
+                size += len(payload)
+                if size > 1 << 22:
+                    yield _batch(out, FOUND)
+                    out, size = [], 0
+        if out:
+            yield _batch(out, FOUND)
+
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = locate(keys, directory, folder).repartition(parts, "file", F.shiftright("offset", _RANGE))
+    return found.sortWithinPartitions("file", "offset").mapInArrow(run, FOUND)
+
+
+def locate(keys: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
+    """Where the captures of the distinct keys are stored.
+
     `directory` must be a saved table. The driver reads one key per index file
     (there are as many as range partitions) to route by; directory rows and keys
     meet in a shuffle by file, so no task holds more than one file's directory.
@@ -200,7 +228,7 @@ def lookup(keys: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([files[max(0, i)] for i in at] if files else [None] * len(at), pa.string()), b.column(0)], names=["file", "ask"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, held, file, out, size = None, [], None, [], 0
+        index, held, file, out = None, [], None, []
         for b in batches:
             for f, ask, *row in zip(*(b.column(k).to_pylist() for k in range(7))):
                 if f != file:
@@ -209,25 +237,22 @@ def lookup(keys: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
                     held.append((row[0], row[1], f, *row[2:]))
                     continue
                 index = index or Index(folder, held)
-                for k, e in index.find(ask):
-                    payload = payload_of(index.read(e[3], e[4], e[5])).decode("utf-8", "replace")
-                    out.append((e[0], e[1], e[2], k, e[4], e[5], payload))
-                    size += len(payload)
-                    if size > 1 << 22:
-                        yield _batch(out)
-                        out, size = [], 0
+                out += [(e[0], e[1], e[2], k, e[3], e[4], e[5]) for k, e in index.find(ask)]
+                if len(out) > 1 << 14:
+                    yield _batch(out, LOCATED)
+                    out = []
         if out:
-            yield _batch(out)
+            yield _batch(out, LOCATED)
 
     asked = keys.select("key").where("key is not null").distinct().mapInArrow(route, "file string, ask string").where("file is not null")
     nothing = [F.lit(None).cast(t).alias(c) for c, t in rows.dtypes if c != "file"]
     both = asked.select("file", "ask", *nothing).unionByName(rows.select("file", F.lit(None).cast("string").alias("ask"), "first", "last", "offset", "length", "n"))
-    return both.repartition("file").sortWithinPartitions(F.col("file"), F.col("ask").asc_nulls_first(), "first").mapInArrow(run, FOUND)
+    return both.repartition("file").sortWithinPartitions(F.col("file"), F.col("ask").asc_nulls_first(), "first").mapInArrow(run, LOCATED)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in FOUND.split(", ")])
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string() if k == "string" else pa.int64()) for c, k in zip(zip(*rows), kinds)], names=list(names))
 
 
 def index(captures: DataFrame, block: int = BLOCK) -> tuple[DataFrame, str]:
