@@ -30,8 +30,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared, textops
@@ -39,7 +38,6 @@ from . import shared, textops
 LENGTH = 50
 GRAM = 25
 SHARD_WORDS = 150_000
-BITMAP_BITS = 1 << 27
 
 
 def _slide(x: np.ndarray, width: int, op: Callable) -> np.ndarray:
@@ -233,23 +231,6 @@ def _stream(batches: Iterator[pa.RecordBatch], length: int, shard: int) -> Itera
     yield from flush()
 
 
-def _bitmap(rows: DataFrame) -> Broadcast:
-    """The ids of a table as a bitmap of fixed size; what it lets through too much, a join removes."""
-    marks = np.zeros(BITMAP_BITS // 8, np.uint8)
-    for row in rows.select(_bit().alias("bit")).mapInArrow(shared.packed, "bits binary").toLocalIterator():
-        bits = np.frombuffer(row.bits, np.int64)
-        np.bitwise_or.at(marks, bits >> 3, np.left_shift(1, bits & 7).astype(np.uint8))
-    return rows.sparkSession.sparkContext.broadcast(shared.squeeze(marks))
-
-
-def _bit() -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))
-
-
-def _marked(mark: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    return (mark[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-
-
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD_WORDS) -> DataFrame:
     """doc_id, key (xxhash64 of the text), lo, hi: word ranges (of the text's own words, from 0) that earlier documents hold; ranges of one text may touch or overlap."""
     spark = docs.sparkSession
@@ -258,14 +239,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int =
     by = Window.partitionBy("fp")
     led = prints.withColumn("leader", F.min("doc_id").over(by)).withColumn("last", F.max("doc_id").over(by)).where("leader < last").select("doc_id", "fp", "leader")
     members = shared.save(led.groupBy("doc_id").agg(F.collect_list("fp").alias("fps"), F.collect_list("leader").alias("leaders")), "members")
-    bitmap = _bitmap(members)
-
-    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = shared.unsqueeze(bitmap.value)
-        for b in batches:
-            yield b.filter(pa.array(_marked(mark, b.column(2).to_numpy()))).select(["doc_id", "text"])
-
-    near = texts.withColumn("bit", _bit()).mapInArrow(only, "doc_id long, text string")
+    near, _ = shared.parted(texts, "doc_id", shared.bitmap(members, "doc_id"))
     sent = near.join(members, "doc_id").select("doc_id", "text", "fps", "leaders", F.xxhash64("text").alias("key")).mapInArrow(lambda it: _stretches(it, length, gram), "leader long, doc_id long, start long, words binary, key long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return sent.repartition(parts, "leader").sortWithinPartitions("leader", "doc_id", "start").mapInArrow(lambda it: _stream(it, length, shard), "doc_id long, key long, lo long, hi long")
@@ -298,21 +272,15 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.int64()), b.column(2)], names=["doc_id", "text", "n_removed", "spans"])
 
     schema = "doc_id long, text string, n_removed long, spans array<struct<lo:bigint,hi:bigint>>"
-    bitmap = _bitmap(found)
-
-    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = shared.unsqueeze(bitmap.value)
-        for b in batches:
-            yield b.filter(pa.array(_marked(mark, b.column(2).to_numpy()))).select(["doc_id", "text"])
+    marks = shared.bitmap(found, "doc_id")
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = shared.unsqueeze(bitmap.value)
         kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-        for b in batches:
-            b = b.filter(pa.array(~_marked(mark, b.column(2).to_numpy())))
+        for b in shared.sided(batches, marks, False):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.zeros(b.num_rows, np.int64)), pa.nulls(b.num_rows, kind)], names=["doc_id", "text", "n_removed", "spans"])
 
     # only documents that lose something meet their spans; all others stay where they are
-    rows = docs.select("doc_id", "text", _bit().alias("bit"))
-    joined = rows.mapInArrow(only, "doc_id long, text string").withColumn("key", F.xxhash64("text")).join(found, ["doc_id", "key"], "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(run, schema).unionByName(rows.mapInArrow(rest, schema))
+    rows = docs.select("doc_id", "text")
+    near, _ = shared.parted(rows, "doc_id", marks)
+    joined = near.withColumn("key", F.xxhash64("text")).join(found, ["doc_id", "key"], "left")
+    return joined.select("doc_id", "text", "spans").mapInArrow(run, schema).unionByName(shared.marked(rows, "doc_id", marks).mapInArrow(rest, schema))
