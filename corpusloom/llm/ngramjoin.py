@@ -24,7 +24,9 @@ and Feng 2012).
    list of its pairs.
 3. Postings (n-gram, set, position level, cluster) are shuffled by n-gram; partitions
    sort them in numpy and emit the pairs of each n-gram that lie in no common cluster,
-   summed per partition.
+   summed per partition.  Sets that share a passage share all of its n-grams, and each
+   partition would emit their pairs again; so n-grams that are frequent beyond chance
+   (a small part of all postings) go to an eighth of the partitions.
 4. Everything with enough matches is verified exactly.  Compressed texts meet, those
    of a cluster together, those of other candidates at a common neighbour, in meetings
    of at most BLOCK sets and MEETING_GRAMS n-grams (larger ones are cut into slots
@@ -69,6 +71,8 @@ GRAM_CELLS = 1 << 22
 #: Longest extension of a prefix, and what a posting costs against a candidate pair.
 MOST = 4
 POSTING_COST = 1.0
+#: Documents beyond chance from which an n-gram counts as frequent, the bit that says so, and the share of partitions for such n-grams.
+FREQUENT, _FREQUENT_BIT, FREQUENT_SHARE = 32, 1 << 15, 8
 #: Most sets and n-grams of a slot of a meeting.
 BLOCK = 512
 MEETING_GRAMS = 1 << 22
@@ -214,7 +218,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
     gram, sig, meta, cluster = gram[order], sig[order], meta[order], cluster[order]
     head = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
     count = np.diff(np.concatenate((head, [len(gram)])))
-    size, level, own = meta >> 16, (meta >> 8) & 255, meta & 255
+    size, level, own = meta >> 16, (meta >> 8) & 127, meta & 255
     many = count > 1
     head, count = head[many], count[many]
     held: list[tuple[np.ndarray, ...]] = []
@@ -526,12 +530,17 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, n: int = N, listed:
                 # an id with several texts: each is joined with the sets of all of them
                 right = np.array([x is None or x == y for x, y in zip(mine.slice(i, j - i).to_pylist(), sig.tolist())], bool)[doc]
                 doc, g, level = doc[right], g[right], level[right]
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(sig[doc]), pa.array((size[doc] << 16) | (level << 8) | own[doc]), pa.array(root[i:j][doc])], names=["gram", "sig", "meta", "cluster"])
+                # by the n-gram's hash alone, so that all of its postings go one way
+                often = frequency.value.grams[cell(g.view(np.uint64), GRAM_CELLS)] - np.float32(frequency.value.chance) >= FREQUENT
+                meta = (size[doc] << 16) | (level << 8) | own[doc] | np.where(often, _FREQUENT_BIT, 0)
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(sig[doc]), pa.array(meta), pa.array(root[i:j][doc])], names=["gram", "sig", "meta", "cluster"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "gram long, sig long, meta long, cluster long"
     outside = shared.marked(texts.withColumns(alone), "doc_id", marks).mapInArrow(lambda it: post(shared.sided(it, marks, False)), schema)
-    postings = outside.unionByName(apart.mapInArrow(post, schema)).repartition(parts, "gram")
+    often = F.col("meta").bitwiseAND(F.lit(_FREQUENT_BIT)) != 0
+    to = F.when(often, F.pmod("gram", F.lit(max(1, parts // FREQUENT_SHARE)))).otherwise(F.col("gram"))
+    postings = outside.unionByName(apart.mapInArrow(post, schema)).repartition(parts, to)
     matched = postings.mapInArrow(lambda it: _pairs(it, threshold), "a long, b long, k int, n int").groupBy("a", "b", "k").agg(F.sum("n").alias("n")).where("n >= k")
     candidates = shared.save(matched.select("a", "b"), "candidates")
     placed = shared.save(_at_hubs(candidates), "placed")

@@ -140,8 +140,9 @@ def test_jaccard_join_finds_exactly_the_pairs(spark, monkeypatch):
     for i, j in expected:
         a, b = sorted((top(i), top(j)))
         root[b] = a
-    for block in (ngramjoin.BLOCK, 3):
+    for block, frequent in ((ngramjoin.BLOCK, ngramjoin.FREQUENT), (3, 2)):
         monkeypatch.setattr(ngramjoin, "BLOCK", block)
+        monkeypatch.setattr(ngramjoin, "FREQUENT", frequent)
         pairs = [tuple(r) for r in ngramjoin.similar_sets(docs).collect()]
         got = {(a, b): j for a, b, j in pairs}
         want = {(i, j): v for (i, j), v in expected.items() if least[i] == i and least[j] == j}
