@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import pretokens, textops
+from . import pretokens, shared, textops
 
 VOCABULARY = os.environ.get("BPE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Distinct pre-tokens that a worker remembers before it starts afresh.
@@ -159,6 +159,7 @@ def load(path: str) -> Bpe:
 
 def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, ids, n_tokens and whether the ids decode to the text."""
+    shared.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)

@@ -6,7 +6,8 @@ more than `threshold` documents are dropped and the rest is put together by posi
 
 Only hashes and positions are shuffled for the counts (a document's repeats of a line
 fall away before the shuffle).  Positions to drop come back as one array per text;
-texts that lose nothing stay where they are, and only the others are shuffled.
+texts that lose nothing stay where they are, and only the others are shuffled.  Joins
+are merges at every size: how many lines are over the threshold has no bound.
 
 With `copies_once` the documents of one text count as one.  It is for corpora that
 still hold copies: else a text copied more often than the threshold loses every line
@@ -43,19 +44,20 @@ def _lines(text: Column) -> Column:
 
 
 def _hashes(text: Column) -> Column:
-    """Hash of each line, null for blank ones."""
-    hashed = lambda x: F.when(normalised(x) != "", F.xxhash64(normalised(x)))
-    return F.transform(_lines(text), hashed)
+    """Hash of each normalised line."""
+    return F.transform(_lines(text), lambda x: F.xxhash64(normalised(x)))
 
 
 def frequent(docs: DataFrame, threshold: int = THRESHOLD, copies_once: bool = False) -> DataFrame:
     """For each text that holds lines over the threshold: `text` (its hash) and the positions of those lines."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text"), _hashes(F.col("text")).alias("lines")).where("lines is not null")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text"), _hashes(F.col("text")).alias("lines")).where("lines is not null")
+    rows = shared.save(hashed, "line-hashes")  # read twice; a small part of the texts' size
+    filled = F.col("line") != F.xxhash64(F.lit(""))
     by = "text" if copies_once else "doc_id"
-    held = rows.where(F.col(by).isNotNull()).select(by, F.explode(F.array_distinct("lines")).alias("line")).where("line is not null").distinct()
+    held = rows.where(F.col(by).isNotNull()).select(by, F.explode(F.array_distinct("lines")).alias("line")).where(filled).distinct()
     over = held.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") > threshold).select("line")
-    placed = rows.select("text", F.posexplode("lines").alias("at", "line")).where("line is not null")
-    return placed.join(over, "line", "left_semi").groupBy("text").agg(F.collect_set("at").alias("drop"))
+    placed = rows.select("text", F.posexplode("lines").alias("at", "line")).where(filled)
+    return placed.join(over.hint("merge"), "line", "left_semi").groupBy("text").agg(F.collect_set("at").alias("drop"))
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +84,7 @@ def dedup(docs: DataFrame, threshold: int = THRESHOLD, copies_once: bool = False
     found = shared.save(frequent(docs, threshold, copies_once), "lines")
     near, rest = shared.parted(plain.withColumn("key", F.xxhash64(at)), "key", shared.bitmap(found, "text"))
     others = [c for c in names if c != at]
-    joined = near.join(found.select(F.col("text").alias("key"), "drop"), "key", "left").select(at, "drop", *others)
+    joined = near.join(found.select(F.col("text").alias("key"), "drop").hint("merge"), "key", "left").select(at, "drop", *others)
     schema = ", ".join(["text string, gone long", *(f"{c} {plain.schema[c].dataType.simpleString()}" for c in others)])
     done = joined.mapInArrow(_without, schema).withColumnRenamed("text", at).unionByName(rest.drop("key").withColumn("gone", F.lit(0).cast("long")))
     length = lambda c: F.length(at).cast(plain.schema[c].dataType)

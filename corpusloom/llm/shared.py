@@ -56,6 +56,7 @@ def drop(spark: SparkSession, *tables: DataFrame) -> None:
 
 def filtered(docs: DataFrame, run) -> DataFrame:
     """mapInArrow that keeps rows with all their columns, whatever the columns' names (a name may hold dots)."""
+    small_batches(docs.sparkSession)
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
