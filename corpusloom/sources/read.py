@@ -26,9 +26,9 @@ def tsv(spark: SparkSession, path: str, schema: str = PAIR, quoted: bool = False
     return reader.option("quote", '"' if quoted else "").csv(path)
 
 
-def tsv_columns(spark: SparkSession, path: str, rows: int = 1_000_000) -> DataFrame:
-    """The first rows of a table with all its columns as text, for calibration and descriptions."""
-    return spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(path).limit(rows)
+def tsv_columns(spark: SparkSession, path: str) -> DataFrame:
+    """A table with all its columns as text, for descriptions; all of its rows count."""
+    return spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(path)
 
 
 def pairs_tsv(spark: SparkSession, path: str, source: str = "source", target: str = "target", cap: int | None = None, seed: int = 42) -> DataFrame:
