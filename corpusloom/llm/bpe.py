@@ -180,7 +180,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
                     names=["doc_id", "ids", "n_tokens", "exact"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, exact boolean")
+    return docs.select("doc_id", "text").mapInArrow(lambda it: shared.trimmed(run(it)), "doc_id long, ids array<int>, n_tokens long, exact boolean")
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:

@@ -479,13 +479,13 @@ def _verified(texts: DataFrame, sets: DataFrame, placed: DataFrame, whole: DataF
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(signatures(grams, first)), pa.array(map(_deflate, text[i:j]), pa.binary())], names=["doc_id", "a", "body"])
 
     marks = shared.bitmap(uses, "doc_id")
-    given = shared.marked(texts, "doc_id", marks).mapInArrow(lambda it: give(shared.sided(it, marks, True)), "doc_id long, a long, body binary")
+    given = shared.marked(texts, "doc_id", marks).mapInArrow(lambda it: shared.trimmed(give(shared.sided(it, marks, True))), "doc_id long, a long, body binary")
     columns = [x.split()[0] for x in _MET.split(", ")]
     sent = given.join(uses, ["doc_id", "a"]).withColumn("b", _null("long")).select(columns)
     pairs = placed.withColumns({"whole": F.lit(False), "slot": _null("int"), "copies": _null("long"), "body": _null("binary")}).select(columns)
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = sent.unionByName(pairs).repartition(parts, "hub", "i", "j", "whole").sortWithinPartitions("hub", "i", "j", "whole", F.col("b").asc_nulls_first())
-    return ordered.mapInArrow(lambda it: _verify(it, threshold, n, listed), _FOUND)
+    return ordered.mapInArrow(lambda it: shared.trimmed(_verify(it, threshold, n, listed)), _FOUND)
 
 
 def join(documents: DataFrame, threshold: float = THRESHOLD, n: int = N, listed: bool = False, links: bool = True) -> Joined:
@@ -493,7 +493,7 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, n: int = N, listed:
     spark = documents.sparkSession
     shared.small_batches(spark)
     texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
-    scanned = shared.save(texts.mapInArrow(lambda it: _scan(it, n), _SCAN), "signatures")
+    scanned = shared.save(texts.mapInArrow(lambda it: shared.trimmed(_scan(it, n)), _SCAN), "signatures")
     rows = scanned.where("part is null")
     docs = rows.select("doc_id", "sig").distinct()
     counted = docs.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
@@ -518,7 +518,8 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, n: int = N, listed:
     inside, _ = shared.parted(texts, "doc_id", marks)
     givers = clusters.join(sets, "sig").select("doc_id", F.col("sig").alias("own"), "root")
     alone = {"own": _null("long"), "root": F.lit(NONE)}
-    apart = inside.join(members, "doc_id", "left_anti").withColumns(alone).unionByName(inside.join(givers, "doc_id"))
+    # merges at every size: a broadcast would leave two Python functions in one task, each with a worker of its own
+    apart = inside.join(members.hint("merge"), "doc_id", "left_anti").withColumns(alone).unionByName(inside.join(givers.hint("merge"), "doc_id"))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -537,11 +538,11 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, n: int = N, listed:
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "gram long, sig long, meta long, cluster long"
-    outside = shared.marked(texts.withColumns(alone), "doc_id", marks).mapInArrow(lambda it: post(shared.sided(it, marks, False)), schema)
+    outside = shared.marked(texts.withColumns(alone), "doc_id", marks).mapInArrow(lambda it: shared.trimmed(post(shared.sided(it, marks, False))), schema)
     often = F.col("meta").bitwiseAND(F.lit(_FREQUENT_BIT)) != 0
     to = F.when(often, F.pmod("gram", F.lit(max(1, parts // FREQUENT_SHARE)))).otherwise(F.col("gram"))
-    postings = outside.unionByName(apart.mapInArrow(post, schema)).repartition(parts, to)
-    matched = postings.mapInArrow(lambda it: _pairs(it, threshold), "a long, b long, k int, n int").groupBy("a", "b", "k").agg(F.sum("n").alias("n")).where("n >= k")
+    postings = outside.unionByName(apart.mapInArrow(lambda it: shared.trimmed(post(it)), schema)).repartition(parts, to)
+    matched = postings.mapInArrow(lambda it: shared.trimmed(_pairs(it, threshold)), "a long, b long, k int, n int").groupBy("a", "b", "k").agg(F.sum("n").alias("n")).where("n >= k")
     candidates = shared.save(matched.select("a", "b"), "candidates")
     placed = shared.save(_at_hubs(candidates), "placed")
     found = _verified(texts, sets, placed, _whole(clusters, sets) if listed or links else None, threshold, n, listed)
@@ -549,6 +550,7 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, n: int = N, listed:
         found = found.unionByName(near.select("a", "b", _null("long").alias("links"), _null("double").alias("jaccard")))
     found = shared.save(found, "found")
     shared.drop(spark, tried, near, clusters, members, candidates, placed)
+    frequency.unpersist()
     return Joined(docs, sets, found)
 
 

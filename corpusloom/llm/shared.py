@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -32,6 +33,16 @@ def folder(spark: SparkSession, what: str) -> str:
 ARROW_ROWS = 1000
 
 
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; when they end, what the worker has freed goes back to the system, as it stays for further tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def small_batches(spark: SparkSession) -> None:
     """At most ARROW_ROWS rows a batch from here on, in this session."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -58,7 +69,7 @@ def filtered(docs: DataFrame, run) -> DataFrame:
     """mapInArrow that keeps rows with all their columns, whatever the columns' names (a name may hold dots)."""
     small_batches(docs.sparkSession)
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(lambda it: trimmed(run(it)), plain.schema).toDF(*docs.columns)
 
 
 #: Bits of a bitmap of ids, by the number of ids; the most is what is broadcast and sent to the driver at worst, 64 MB.
