@@ -22,7 +22,9 @@ the probabilities of all counted words, and of one unseen word a place, sum to o
    task.  ROUNDS such passes.  As every partition trains by itself, weights depend on
    how the corpus is partitioned (not on which executor works on what, nor on tasks
    that are run again); there is no random draw.
-3. Scoring runs the forward pass over the same sparse batches. Counts of the most
+3. Scoring runs the forward pass over the same sparse batches, from weights whose
+   exponentials are taken once a task (unless a logit could reach the limits it is
+   held in), so a word costs products and no exponential. Counts of the most
    frequent other words (TABLE at most) go along; where the vocabulary is larger,
    the rest of each text's words are joined with the table of counts.
 
@@ -57,8 +59,14 @@ TABLE = 1 << 18
 ROWS = 1 << 14  # row numbers of all factors, (2 + LEVELS) * ROWS, must fit 16 bits
 ROUNDS = 1
 RATE = 0.5
-BATCH = 8192
+BATCH = 8192  # must fit 16 bits, too
 _BLOCK = 256
+#: Rows whose logits are worked on together: they stay in the processor's cache, and no result depends on it.
+_SLICE = 1024
+#: Words of a batch on one weight row from which their gradients are added up as a product; no result depends on it but by rounding.
+_LONG = 16
+#: Logits are held within this of zero.
+_MOST = 60.0
 #: Partitions whose changes one task combines; more of them are combined in steps.
 FAN = 64
 _KINDS = 3
@@ -128,35 +136,51 @@ def _features(model: Model, w: textops.Words) -> Features:
 
 def _softmax(x: np.ndarray) -> np.ndarray:
     """Logits are held within 60 of zero, so every sum is far from zero and from infinity, and probabilities add up to one."""
-    np.exp(np.clip(x, -60, 60, out=x), out=x)
-    x *= 1 / x.sum(axis=1, keepdims=True)
+    np.exp(np.clip(x, -_MOST, _MOST, out=x), out=x)
+    x *= (1 / (x @ np.ones(x.shape[1], x.dtype)))[:, None]
     return x
 
 
-def _factor(model: Model, rows: np.ndarray, logits: np.ndarray) -> np.ndarray:
-    """Probabilities of one factor from its biases, which are overwritten."""
-    for k in range(_KINDS):
-        logits += model.weights[rows[k]]
-    return _softmax(logits)
+def _taken(table: np.ndarray, rows: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """table[rows], for row numbers that are known to be there: what is faster than an index doesn't check them."""
+    return np.take(table, rows, axis=0, out=out, mode="clip")
+
+
+def _factor(model: Model, rows: np.ndarray, bias: np.ndarray, node: np.ndarray | None = None) -> np.ndarray:
+    """Probabilities of one factor, whose biases are the rows `node` of `bias`, or one row for all."""
+    out = np.empty((rows.shape[1], CLASS), np.float32)
+    more = np.empty((min(_SLICE, len(out)), CLASS), np.float32)
+    for i in range(0, len(out), _SLICE):
+        x = out[i : i + _SLICE]
+        held = more[: len(x)]
+        _taken(model.weights, rows[0, i : i + _SLICE], x)
+        for k in range(1, _KINDS):
+            x += _taken(model.weights, rows[k, i : i + _SLICE], held)
+        x += bias if node is None else _taken(bias, node[i : i + _SLICE], held)
+        _softmax(x)
+    return out
 
 
 def _forward(model: Model, ids: np.ndarray, rows_c: np.ndarray, rows_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities of all classes, and of all words of the right class."""
-    return _factor(model, rows_c, np.repeat(model.class_bias[None], len(ids), axis=0)), _factor(model, rows_w, model.word_bias[ids // CLASS])
-
-
-def _sums(grad: np.ndarray, order: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """Sum of each run of rows of grad[order]; most runs are short, so they are added up side by side."""
-    size = np.diff(np.append(head, len(order)))
-    out = grad[order[head]]
-    long = np.flatnonzero(size > 8)
-    for i in long.tolist():
-        out[i] = grad[order[head[i] : head[i] + size[i]]].sum(axis=0)
-    rest, k = np.flatnonzero((size > 1) & (size <= 8)), 1
-    while len(rest):
-        out[rest] += grad[order[head[rest] + k]]
-        k += 1
-        rest = rest[size[rest] > k]
+    return _factor(model, rows_c, model.class_bias), _factor(model, rows_w, model.word_bias, ids // CLASS)
+
+
+def _sums(grad: np.ndarray, order: np.ndarray, head: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sum of each run of rows of grad[order], the longest runs first. Most are short and added up side by side; long ones are products with ones."""
+    out = _taken(grad, order[head])
+    long = int(np.count_nonzero(size > _LONG))
+    if long:
+        rows = _taken(grad, order[textops.ragged(head[:long], size[:long])])
+        ones, end = np.ones(size[0], grad.dtype), 0
+        for i, n in enumerate(size[:long].tolist()):
+            np.dot(ones[:n], rows[end : end + n], out=out[i])
+            end += n
+    for k in range(1, _LONG):
+        more = int(np.count_nonzero(size > k))
+        if more == long:
+            break
+        out[long:more] += _taken(grad, order[head[long:more] + k])
     return out
 
 
@@ -167,11 +191,14 @@ def _step(model: Model, energy: np.ndarray, rows: np.ndarray, wanted: np.ndarray
         order = np.argsort(rows[k].astype(np.uint16), kind="stable")
         ordered = rows[k][order]
         head = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        total = _sums(grad, order, head)
+        size = np.diff(np.append(head, len(order)))
+        by = np.argsort((len(order) - size).astype(np.uint16), kind="stable")
+        head = head[by]
+        total = _sums(grad, order, head, size[by])
         at = ordered[head]
         energy[at] += np.einsum("ij,ij->i", total, total)
         total *= (rate / np.sqrt(energy[at] + 1e-6))[:, None]
-        model.weights[at] -= total
+        model.weights[at] = np.subtract(_taken(model.weights, at), total, out=total)
 
 
 def train_on(model: Model, chunks: Iterator[list[str]], rate: float = RATE) -> tuple[np.ndarray, int]:
@@ -190,26 +217,47 @@ def train_on(model: Model, chunks: Iterator[list[str]], rate: float = RATE) -> t
         for bias, (rows, node, digit) in zip(own.split, levels):
             for i in range(0, len(tail), BATCH):
                 s = slice(i, i + BATCH)
-                _step(own, energy, rows[:, s], digit[s], _factor(own, rows[:, s], bias[node[s]]), rate)
+                _step(own, energy, rows[:, s], digit[s], _factor(own, rows[:, s], bias, node[s]), rate)
         seen += len(ids)
     return own.weights, seen
 
 
-def _scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words and summed log-probability of each text, without the counts of the words that the model has none of: those words' documents and hashes."""
+def _odds(model: Model) -> Model | None:
+    """The model with the exponentials of weights and biases for them, if no logit can reach the limits within which logits are held."""
+    most = max(float(np.abs(b).max(initial=0)) for b in (model.class_bias, model.word_bias, *model.split))
+    if not most + _KINDS * float(np.abs(model.weights).max(initial=0)) < _MOST:
+        return None
+    return model._replace(weights=np.exp(model.weights), class_bias=np.exp(model.class_bias), word_bias=np.exp(model.word_bias), split=tuple(map(np.exp, model.split)))
+
+
+def _logs(model: Model, odds: bool, rows: np.ndarray, wanted: np.ndarray, bias: np.ndarray, node: np.ndarray | None = None) -> np.ndarray:
+    """Log-probabilities of what is wanted by one factor. A model of odds() takes products, and no exponential of any row."""
+    out = np.empty(len(wanted))
+    more, ones = np.empty((2, min(_SLICE, len(out)), CLASS), np.float32), np.ones(CLASS, np.float32)
+    for i in range(0, len(out), _SLICE):
+        s = slice(i, i + _SLICE)
+        at = np.arange(len(wanted[s])), wanted[s]
+        if odds:
+            x, held = more[:, : len(at[0])]
+            _taken(model.weights, rows[0, s], x)
+            for k in range(1, _KINDS):
+                x *= _taken(model.weights, rows[k, s], held)
+            x *= bias if node is None else _taken(bias, node[s], held)
+            p = x[at] / (x @ ones)
+        else:
+            p = _factor(model, rows[:, s], bias, None if node is None else node[s])[at]
+        out[s] = np.log(np.maximum(p, 1e-30))
+    return out
+
+
+def _scores(model: Model, texts: list[str], odds: Model | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words and summed log-probability of each text, without the counts of the words that the model has none of: those words' documents and hashes. `odds` is what _odds() makes of the model."""
     w = textops.words(texts)
     ids, rows_c, rows_w, tail, levels = _features(model, w)
-    out = np.zeros(len(ids))
-    for i in range(0, len(ids), BATCH):
-        s = slice(i, i + BATCH)
-        c, x = _forward(model, ids[s], rows_c[:, s], rows_w[:, s])
-        at = np.arange(len(c))
-        out[s] = np.log(np.maximum(c[at, ids[s] // CLASS], 1e-30)) + np.log(np.maximum(x[at, ids[s] % CLASS], 1e-30))
-    for bias, (rows, node, digit) in zip(model.split, levels):
-        for i in range(0, len(tail), BATCH):
-            s = slice(i, i + BATCH)
-            x = _factor(model, rows[:, s], bias[node[s]])
-            out[tail[s]] += np.log(np.maximum(x[np.arange(len(x)), digit[s]], 1e-30))
+    m, quick = odds or model, odds is not None
+    out = _logs(m, quick, rows_c, ids // CLASS, m.class_bias) + _logs(m, quick, rows_w, ids % CLASS, m.word_bias, ids // CLASS)
+    for bias, (rows, node, digit) in zip(m.split, levels):
+        out[tail] += _logs(m, quick, rows, digit, bias, node)
     tail = np.flatnonzero(ids >= (CLASSES - 1) * CLASS)
     h = w.hash[tail]
     out[tail] -= np.log(model.shared[(h % np.uint64(len(model.shared))).astype(np.int64)])
@@ -229,7 +277,7 @@ def _unseen(model: Model) -> float:
 
 def score_texts(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Words and summed log-probability of each text. Words that the model has no count of are unseen ones here; score() looks them up."""
-    n, p, doc, _ = _scores(model, texts)
+    n, p, doc, _ = _scores(model, texts, _odds(model))
     return n, p + np.bincount(doc, minlength=len(texts)) * _unseen(model)
 
 
@@ -373,10 +421,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
+        odds = _odds(sent.value)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             for i, j in textops.chunks(texts):
-                n, p, doc, h = _scores(sent.value, texts[i:j])
+                n, p, doc, h = _scores(sent.value, texts[i:j], odds)
                 if sent.value.whole:
                     p, doc, h = p + np.bincount(doc, minlength=j - i) * _unseen(sent.value), doc[:0], h[:0]
                 order = np.lexsort((h, doc))

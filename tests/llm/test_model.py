@@ -138,3 +138,57 @@ def test_rare_words_differ_as_context():
     h = np.array([1, 1 + size], np.uint64)  # one slot
     rows = maxent._features(model, w._replace(hash=np.array([h[0], 5, h[1], 5], np.uint64)))[1]
     assert rows[0, 1] != rows[0, 3]
+
+
+def levelled_model(rng, scale):
+    """A model of one level, whose first words of the text below are frequent ones."""
+    known = np.sort(maxent.textops.words([" ".join(f"t{x}" for x in range(40))]).hash)
+    size, places = (3 * maxent.ROWS, maxent.CLASS), maxent.CLASS**2
+    drawn = [rng.normal(size=s).astype(np.float32) for s in ((maxent.CLASSES,), (maxent.CLASSES, maxent.CLASS), (maxent.CLASS, maxent.CLASS))]
+    return maxent.Model(known, rng.permutation(len(known)) * 90, rng.normal(scale=scale, size=size).astype(np.float32), drawn[0], drawn[1], (drawn[2],), np.ones(places))
+
+
+def test_scores_equal_plain_loops_and_take_no_softmax(monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = [grammar(rng, 150), "", grammar(rng, 30)]
+    w = maxent.textops.words(texts)
+    for scale in (1.0, 40.0):  # logits of the second are beyond the limits
+        model = levelled_model(rng, scale)
+        f = maxent._features(model, w)
+        plain = np.zeros(len(w.hash))
+
+        def add(i, rows, bias, wanted):
+            p = plain_softmax(sum(model.weights[r].astype(float) for r in rows) + bias)[wanted]
+            plain[i] += math.log(max(p, 1e-30))
+
+        for i, x in enumerate(f.ids):
+            add(i, f.rows_c[:, i], model.class_bias, x // maxent.CLASS)
+            add(i, f.rows_w[:, i], model.word_bias[x // maxent.CLASS], x % maxent.CLASS)
+        rows, node, digit = f.levels[0]
+        for j, i in enumerate(f.tail):
+            add(i, rows[:, j], model.split[0][node[j]], digit[j])
+        assert 0 < len(f.tail) < len(f.ids)
+        with monkeypatch.context() as m:
+            if scale == 1:
+                m.setattr(maxent, "_softmax", None)
+            n, p = maxent.score_texts(model, texts)
+        rest = np.bincount(w.doc[f.tail], minlength=3) * math.log(1 / maxent.CLASS)
+        assert n.tolist() == [150, 0, 30] and np.allclose(p, np.bincount(w.doc, plain, 3) + rest, rtol=1e-4)
+
+
+def test_a_step_sums_runs_of_any_length_as_plain_loops():
+    rng = np.random.default_rng(10)
+    model = small_model(rng)
+    runs = [1, 2, 3, 15, 16, 17, 18, 40, 1500]
+    n = sum(runs)
+    rows = np.stack([rng.permutation(np.repeat(rng.permutation(20)[: len(runs)], runs)) for _ in range(3)])
+    wanted, p = rng.integers(0, maxent.CLASS, n), maxent._softmax(rng.normal(size=(n, maxent.CLASS)).astype(np.float32))
+    weights, energy, grad = model.weights.astype(float), np.zeros(len(model.weights)), p.astype(float)
+    grad[np.arange(n), wanted] -= 1
+    maxent._step(model, mine := np.zeros(len(model.weights), np.float32), rows, wanted, p, 0.5)
+    for k in range(3):
+        for row in np.unique(rows[k]):
+            total = grad[rows[k] == row].sum(axis=0)
+            energy[row] += (total**2).sum()
+            weights[row] -= total * 0.5 / math.sqrt(energy[row] + 1e-6)
+    assert np.allclose(model.weights, weights, atol=1e-4) and np.allclose(mine, energy, rtol=1e-3)
