@@ -597,8 +597,7 @@ def passages_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reading-comprehension files of two questions each, one of which has no valid key."""
     path, c = _new(spark, "passages"), F.col
     question = lambda key: F.struct(c("p_partkey").cast("string").alias("stem"), F.array(c("p_type"), F.lit("other")).alias("choices"), key.alias("key"))
-    table(spark, sf_dir, "part").select(c("p_brand").alias("text"), F.array(question(c("p_type")), question(F.lit("none"))).alias("mcqs")).write.json(path + "-rows")
-    write.json_array(spark.read.json(path + "-rows"), path.removeprefix("file://"))
+    write.json_arrays(table(spark, sf_dir, "part").select(c("p_brand").alias("text"), F.array(question(c("p_type")), question(F.lit("none"))).alias("mcqs")), path)
     return read.passages(spark, path).select(c("question").cast("long").alias("key"), "text", "correct", c("key").alias("answer"))
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,28 @@ def json_array(df: DataFrame, path: str, limit: int = 1_000_000) -> None:
     Path(path).write_text(json.dumps([json.loads(r) for r in rows], ensure_ascii=False, indent=2), "utf-8")
 
 
+def json_arrays(df: DataFrame, path: str, rows: int = 10_000, chars: int = 1 << 25) -> None:
+    """A folder of files that are one JSON array each, for tables of any size: the tasks write their own rows, and a file ends at so many rows or characters, so who reads one never holds more."""
+
+    def array(held: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(["[\n" + ",\n".join(held) + "\n]"])], names=["value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for x in b.column(0):
+                held.append(x.as_py())
+                size += len(held[-1])
+                if len(held) >= rows or size >= chars:
+                    yield array(held)
+                    held, size = [], 0
+        if held:
+            yield array(held)
+
+    lines = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    lines.mapInArrow(run, "value string").write.option("maxRecordsPerFile", 1).text(path)
+
+
 def parallel(df: DataFrame, source: str, target: str, order: str = "seq") -> None:
     """Two folders of text files whose lines are aligned; tabs and line feeds become spaces."""
     flat = df.orderBy(order).select(*(F.translate(c, "\n\t\r", "   ").alias(c) for c in ("source", "target")))

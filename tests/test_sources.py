@@ -61,6 +61,17 @@ def test_json(spark, tmp_path):
     assert [(r.text, r.question, r.choices, r.key, [tuple(a) for a in r.answers], r.correct) for r in got] == [("t", "q1", ["x", "y"], "y", [("А", "x"), ("Б", "y")], "Б")]
 
 
+def test_json_arrays_of_bounded_size(spark, tmp_path):
+    """Any number of rows, none of them through the driver; also none at all."""
+    path = str(tmp_path / "arrays")
+    write.json_arrays(spark.range(25).repartition(2).select("id", F.lit(None).cast("string").alias("x")), path, rows=4)
+    found = [json.loads(p.read_text()) for p in (tmp_path / "arrays").glob("part-*")]
+    assert max(map(len, found)) == 4 and sorted(r["id"] for f in found for r in f) == list(range(25)) and all(r["x"] is None for f in found for r in f)
+    assert read.json_array(spark, path, "id long").count() == 25
+    write.json_arrays(spark.range(0), path + "-none")
+    assert read.json_array(spark, path + "-none", "id long").count() == 0
+
+
 def test_other_files(spark, tmp_path):
     (tmp_path / "s.txt.bz2").write_bytes(bz2.compress("a\nb\n\n\n\nc\n".encode()))
     assert [(r.story, r.text) for r in read.stories(spark, str(tmp_path / "s.txt.bz2")).orderBy("story").collect()] == [(1, "a b"), (2, "c")]
