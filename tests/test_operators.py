@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,6 +227,36 @@ def test_top_k_in_slices(spark, monkeypatch):
     assert retrieve.pooled(np.ones((1, 3, 4)), np.array([[1, 1, 0]])).tolist() == [[0.5] * 4]
 
 
+def test_top_k_holds_blocks_of_bounded_size(spark, monkeypatch):
+    """No row passes through the driver, copies are equally near whichever block they are in, and a cell's memory is that of its vectors."""
+    import tracemalloc
+
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refused(*_):
+        raise AssertionError("rows come to the driver")
+
+    rng = np.random.default_rng(8)
+    v = np.repeat(rng.normal(size=(150, 9)).astype(np.float32), 40, axis=0)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<float>").repartition(3)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", refused)
+    monkeypatch.setattr(retrieve, "SLICE", 5000)
+    got = {}
+    for r in retrieve.top_k(df.where("id % 40 = 7"), df, "id", "v", 5).collect():
+        got.setdefault(r.query, []).append(r.key)
+    assert {q: sorted(ks) for q, ks in got.items()} == {q: [q - 7 + i for i in range(5)] for q in range(7, 6000, 40)}
+
+    raw = rng.normal(size=(40_000, 8)).astype(np.float32)
+    packs = [(0, side, 4, np.arange(at, at + 250).tobytes(), raw[at : at + 250].tobytes()) for side in (0, 1) for at in range(0, 40_000 if side == 0 else 1000, 250)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*packs)], names=["cell", "side", "width", "keys", "v"])
+    tracemalloc.start()
+    n = sum(b.num_rows for b in retrieve._meet(iter([batch]), 3))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # all similarities at once would be 320 MB
+    assert n == 3000 and most < 60e6
+
+
 def test_packing():
     words = lambda n: " ".join(["w"] * n)
     sizes = lambda ns: [[len(s.split()) for s in g] for g in segment.packed([words(n) for n in ns], 5, 10)]
