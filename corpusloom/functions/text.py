@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -30,22 +29,9 @@ def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@lru_cache(None)
-def _composable() -> str:
-    """A pattern of the characters without which a text is composed already: marks, vowels and finals of Hangul, and all that composition replaces."""
-    changed = [k for k in range(0x80, 0x110000) if not 0xD800 <= k < 0xE000 and unicodedata.normalize("NFC", chr(k)) != chr(k)]
-    spans: list[list[int]] = []
-    for k in changed:
-        if spans and spans[-1][1] == k - 1:
-            spans[-1][1] = k
-        else:
-            spans.append([k, k])
-    return "[\\p{M}\\x{1161}-\\x{1175}\\x{11A8}-\\x{11C2}" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans) + "]"
-
-
 def nfc(c: Column) -> Column:
-    """Canonical composition. Only rows that it may change are worked on in Python (the batch is sent all the same, without the other rows' texts)."""
-    open_ = (F.octet_length(c) > F.length(c)) & c.rlike(_composable())
+    """Canonical composition. Texts of Latin letters without marks (all characters below U+0300) are composed already; the others go to Python, which sees at a glance whether there is something to do (the batch is sent all the same, without the other rows' texts)."""
+    open_ = (F.octet_length(c) > F.length(c)) & c.rlike(r"[\x{300}-\x{10FFFF}]")
     return F.when(open_, _nfc(F.when(open_, c))).otherwise(c)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import chunking, maths, parse
 from corpusloom.functions import text as T
-from corpusloom.operators import errors
+from corpusloom.operators import clean, errors, filters
 
 
 def one(spark, column, **values):
@@ -138,3 +138,16 @@ def test_composition_equals_python(spark):
     texts = ["é", "Å", "й", "plain", None]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     assert {r.i: r.x for r in docs.select("i", T.nfc(C("t")).alias("x")).collect()} == {i: t and unicodedata.normalize("NFC", t) for i, t in enumerate(texts)}
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_every_character_is_composed(spark):
+    """And no long class of characters is tried at every place to find out whether there is something to compose."""
+    every = ["a" + chr(k) for k in range(0x30000) if not 0xD800 <= k < 0xE000]
+    texts = ["".join(every[i : i + 50]) for i in range(0, len(every), 50)] + ["e\u0301", "\u1112\u1161\u11ab", "\u0061\u0323\u0302", "\u212b"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.nfc(C("t")).alias("c")).collect()
+    assert all(r.c == unicodedata.normalize("NFC", r.t) for r in got) and len(got) == len(texts)
+    assert len(plan(spark.createDataFrame([("x",)], "t string").repartition(1).select(T.nfc(C("t"))))) < 1000
