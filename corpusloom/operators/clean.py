@@ -110,7 +110,8 @@ def copied(src: Column, tgt: Column, pair: str = "en-uk", latin: float | None =
 _OWN, _FOREIGN = "іїєґІЇЄҐ", "ыэъЫЭЪ"
 #: А to я, and the letters that only Ukrainian has; ё isn't among them.
 _CYRILLIC = "".join(map(chr, range(0x410, 0x450))) + _OWN
-_LISTED = rf"(?<!\S)(?:{'|'.join(RUSSIAN)})(?!\S)"
+#: In both cases, as lower() is slow in Cyrillic texts.
+_LISTED = rf"(?<!\S)(?:{'|'.join(''.join(f'[{x}{x.upper()}]' for x in w) for w in RUSSIAN)})(?!\S)"
 
 
 def _letters(c: Column, letters: str) -> Column:
@@ -121,7 +122,7 @@ def _letters(c: Column, letters: str) -> Column:
 def uk_quality(c: Column) -> Column:
     """Share of letters that only Ukrainian has, less Russian letters and function words; 0.5 without Cyrillic."""
     cyrillic, own, foreign = (_letters(c, x) for x in (_CYRILLIC, _OWN, _FOREIGN))
-    listed = _count(F.lower(c), f"(?U){_LISTED}")
+    listed = _count(c, f"(?U){_LISTED}")
     penalty = F.coalesce(F.least(F.lit(1.0), F.try_divide(listed, T.word_count(c)) * 10), F.lit(0.0))
     score = own / cyrillic * 0.5 + (1 - F.least(F.lit(1.0), foreign / cyrillic * 5)) * 0.3 + (1 - penalty) * 0.2
     return F.when(F.coalesce(cyrillic, F.lit(0)) == 0, F.lit(0.5)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))

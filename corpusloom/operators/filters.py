@@ -45,8 +45,7 @@ def laser_or_unscored(laser: Column, least: float = 1.2) -> Column:
 
 def clean_prose(c: Column) -> Column:
     """Mostly Cyrillic, few digits, some word."""
-    n = F.regexp_count(c, F.lit(r"[\p{L}\p{N}_]"))
-    cyrillic, digits = (F.regexp_count(c, F.lit(p)) for p in ("[\\x{0400}-\\x{04FF}]", r"\p{Nd}"))
+    n, cyrillic, digits = (T.count_of(c, p) for p in (r"\p{L}\p{N}_", "\\x{0400}-\\x{04FF}", r"\p{Nd}"))
     return (n > 0) & F.coalesce(F.try_divide(cyrillic, n) >= 0.6, F.lit(False)) & (digits / F.greatest(F.length(c), F.lit(1)) <= 0.15)
 
 
@@ -77,7 +76,7 @@ def single_error(n: Column) -> Column:
 
 def usable_choice(c: Column) -> Column:
     """Long enough to hide an error in: 12 characters, 4 Ukrainian letters."""
-    return (F.length(T.strip(c)) >= 12) & (T.ukrainian_letters(T.strip(c)) >= 4)
+    return (F.length(T.strip(c)) >= 12) & (T.ukrainian_letters(c) >= 4)
 
 
 def reasoned(score: Column, reasoning: Column) -> Column:

@@ -151,3 +151,14 @@ def test_every_character_is_composed(spark):
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.nfc(C("t")).alias("c")).collect()
     assert all(r.c == unicodedata.normalize("NFC", r.t) for r in got) and len(got) == len(texts)
     assert len(plan(spark.createDataFrame([("x",)], "t string").repartition(1).select(T.nfc(C("t"))))) < 1000
+
+
+def test_letters_are_counted_in_every_character(spark):
+    """As in lower(), which isn't called: it is slow beyond ASCII. Classes are counted without a text for each match."""
+    every = [chr(k) for k in range(0x20000) if not 0xD800 <= k < 0xE000]
+    texts = ["".join(every[i : i + 100]) for i in range(0, len(every), 100)] + [""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    counted = df.select("t", T.ukrainian_letters(C("t")).alias("n"), T.count_of(C("t"), r"\p{L}\p{N}_").alias("w"), F.regexp_count("t", F.lit(r"[\p{L}\p{N}_]")).alias("e"))
+    assert all(r.n == sum(x in T.UKRAINIAN for x in r.t.lower()) and r.w == r.e for r in counted.collect())
+    used = plan(df.select(T.ukrainian_letters(C("t")), filters.clean_prose(C("t")), filters.usable_choice(C("t")), clean.uk_quality(C("t"))))
+    assert "lower(" not in used and "[\\p{L}\\p{N}_], 0)" not in used
