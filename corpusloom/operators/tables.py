@@ -16,6 +16,11 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, a few tasks each: a small file is read by one task, however much is made of its rows then."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset, a local session gets a temporary folder and a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)

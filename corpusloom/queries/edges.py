@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import chunking, maths, parse
 from ..functions import text as T
 from ..operators import clean, dedup, errors, evaluate, filters, records
+from ..operators.tables import spread
 from .pairs import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,7 +26,7 @@ def _cases(name: str, schema: str, rows: list[tuple], result: Callable[[], Colum
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         given = spark.createDataFrame([(i, *r[:-1]) for i, r in enumerate(rows)], f"case int, {schema}")
-        parts = table(spark, sf_dir, "part").select("p_partkey", F.pmod("p_partkey", F.lit(len(rows))).cast("int").alias("case"))
+        parts = spread(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", F.pmod("p_partkey", F.lit(len(rows))).cast("int").alias("case"))
         return parts.join(F.broadcast(given), "case").select("p_partkey", "case", result().cast("string").alias("result"))
 
     run.__name__, run.__doc__ = name, f"{len(rows)} cases"

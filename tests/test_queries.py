@@ -47,6 +47,11 @@ def test_runs(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
 
 
+def test_cases_are_worked_on_by_all_cores(spark):
+    """The parts are one small file, which one task reads."""
+    assert queries.QUERIES["edge_chunks"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_paragraphs_hold_every_line(spark, duck):
     """Windows against a walk over all lines of each source, with the sizes that the query's windows show."""
     docs = duck.execute("select source, text from documents where text is not null order by source, doc_id").fetchall()
