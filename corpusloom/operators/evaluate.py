@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,30 +36,81 @@ def same_number(a: Column, b: Column) -> Column:
     return F.coalesce((bare(a) == bare(b)) | F.coalesce(numbers, F.lit(False)), F.lit(False))
 
 
-def _grams(tokens: Column, n: int, glue: str) -> Column:
-    """n-grams of an array."""
-    size = F.size(tokens)
-    starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), glue))
+#: Tokens whose n-grams are counted at once; rows of one key aren't parted.
+AT_ONCE = 1 << 17
+
+
+def _coded(texts: list) -> np.ndarray:
+    """A number for each token of texts (whose tokens are characters) or of lists of tokens, one after the other."""
+    if texts and isinstance(texts[0], str):
+        return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return pa.array([t for x in texts for t in x], pa.string()).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def _named(keys: np.ndarray) -> np.ndarray:
+    """0, 1, … for the different keys."""
+    return pa.array(keys).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def _counted(rows: list[tuple], orders: int) -> np.ndarray:
+    """matched (clipped by the rows of one group), n-grams of predictions and of references, for every n. rows: group, prediction, reference."""
+    groups = np.repeat(np.array([g for g, _, _ in rows], np.int64), 2)
+    sides = [x for _, p, r in rows for x in (p, r)]
+    sizes = np.array([len(x) for x in sides], np.int64)
+    side = np.repeat(np.arange(len(sides)) % 2, sizes)
+    tokens = _named(_coded(sides))
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(tokens))
+    # an n-gram is known by the (n - 1)-gram before it and its last token, and the first by group and token: nothing is hashed away
+    name = np.repeat(groups, sizes) - (groups[0] if len(groups) else 0)
+    width, out = len(tokens) + 1, np.zeros((orders, 3), np.int64)
+    for n in range(1, orders + 1):
+        at = np.flatnonzero(left >= n)
+        if not len(at):
+            break
+        new = np.zeros(len(tokens), np.int64)
+        new[at] = _named(name[at] * width + tokens[at + n - 1])
+        name = new
+        p, r = (np.bincount(name[at[side[at] == k]], minlength=len(at)) for k in (0, 1))
+        out[n - 1] = np.minimum(p, r).sum(), p.sum(), r.sum()
+    return out
+
+
+def _matches(rows: DataFrame, predicted: Column, reference: Column, orders: int) -> DataFrame:
+    """n, match, pred, ref, summed over rows for every n: matched (clipped), n-grams of the predictions, n-grams of the references. Texts of characters or arrays of tokens.
+
+    Rows of one id are counted together. They meet by a shuffle of the rows; n-grams
+    are counted where they are, and a task sends their sums.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, size, group, last = np.zeros((orders, 3), np.int64), [], 0, 0, None
+        for b in batches:
+            for key, p, r in zip(*(b.column(c).to_pylist() for c in range(3))):
+                if key != last:
+                    if size >= AT_ONCE:
+                        total, held, size = total + _counted(held, orders), [], 0
+                    group, last = group + 1, key
+                held.append((group, p, r))
+                size += len(p) + len(r)
+        total = total + _counted(held, orders)
+        yield pa.RecordBatch.from_arrays([pa.array(range(1, orders + 1), pa.int32()), *(pa.array(total[:, k]) for k in range(3))], names=["n", "match", "pred", "ref"])
+
+    met = rows.repartition("id").sortWithinPartitions("id").select("id", predicted, reference)
+    return met.mapInArrow(run, "n int, match long, pred long, ref long").groupBy("n").agg(*(F.sum(c).alias(c) for c in ("match", "pred", "ref")))
 
 
-def _matches(rows: DataFrame, tokens: str, orders: int, glue: str) -> DataFrame:
-    """Summed over rows for every n: matched (clipped), n-grams of the predictions, n-grams of the references."""
+def _marks(c: str) -> Column:
+    """Words and single signs."""
+    return F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]"), 0)
 
-    def tagged(n: int):
-        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"))
 
-    side = lambda c: F.flatten(F.array(*(F.transform(_grams(F.col(f"{c}_{tokens}"), n, glue), tagged(n)) for n in range(1, orders + 1))))
-    counted = [rows.select("id", F.explode(side(c)).alias("x")).select("id", "x.n", "x.g", *(F.lit(int(c == k)).alias(f"is_{k}") for k in ("pred", "ref"))) for c in ("pred", "ref")]
-    per = counted[0].unionByName(counted[1]).groupBy("id", "n", "g").agg(F.sum("is_pred").alias("p"), F.sum("is_ref").alias("r"))
-    return per.groupBy("n").agg(F.sum(F.least("p", "r")).alias("match"), F.sum("p").alias("pred"), F.sum("r").alias("ref"))
+def _pairs(df: DataFrame, key: str, predicted: str, reference: str) -> DataFrame:
+    return df.select(F.col(key).alias("id"), F.col(predicted).alias("pred"), F.col(reference).alias("ref"))
 
 
 def bleu(df: DataFrame, key: str, predicted: str, reference: str) -> DataFrame:
     """Corpus BLEU (four orders, clipped, brevity penalty, halving smoothing of orders without a match), tokens being words and single signs."""
-    split = lambda c: F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]"), 0)
-    rows = df.select(F.col(key).alias("id"), split(predicted).alias("pred_t"), split(reference).alias("ref_t"))
-    total = _matches(rows, "t", 4, "\x01").groupBy().agg(*(F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}{n}") for n in range(1, 5) for c in ("match", "pred", "ref")))
+    total = _matches(_pairs(df, key, predicted, reference), _marks("pred"), _marks("ref"), 4).groupBy().agg(*(F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}{n}") for n in range(1, 5) for c in ("match", "pred", "ref")))
     logs, empty, halves = F.lit(0.0), F.lit(False), F.lit(1.0)
     for n in range(1, 5):
         none = (F.col(f"match{n}") == 0) & (F.col(f"pred{n}") > 0)
@@ -68,10 +123,9 @@ def bleu(df: DataFrame, key: str, predicted: str, reference: str) -> DataFrame:
 
 def chrf(df: DataFrame, key: str, predicted: str, reference: str, char_order: int = 6, word_order: int = 2, beta: float = 2.0) -> DataFrame:
     """Corpus chrF++: the mean F score of character n-grams (blanks aside) and word n-grams."""
-    chars = lambda c: F.filter(F.split(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"(?U)\s", ""), ""), lambda x: x != "")
-    marks = lambda c: F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]"), 0)
-    rows = df.select(F.col(key).alias("id"), *(f(c).alias(f"{side}_{kind}") for side, c in (("pred", predicted), ("ref", reference)) for kind, f in (("c", chars), ("w", marks))))
-    parts = _matches(rows, "c", char_order, "").unionByName(_matches(rows, "w", word_order, "\x01"))
+    chars = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"(?U)\s", "")
+    rows = _pairs(df, key, predicted, reference)
+    parts = _matches(rows, chars("pred"), chars("ref"), char_order).unionByName(_matches(rows, _marks("pred"), _marks("ref"), word_order))
     p, r = F.try_divide("match", "pred"), F.try_divide("match", "ref")
     score = F.coalesce(F.try_divide((1 + beta**2) * p * r, beta**2 * p + r), F.lit(0.0))
     return parts.where("pred > 0 or ref > 0").select(score.alias("f")).agg(F.coalesce(F.avg("f") * 100, F.lit(0.0)).alias("chrf"))

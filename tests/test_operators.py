@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -329,3 +330,23 @@ def test_statistics(spark):
     assert [(r.g, r.n) for r in stats.histogram(df, "g").collect()] == [("a", 2), ("b", 1)]
     text = spark.createDataFrame([(1, i, f"t{i}") for i in (2, 0, 1)] + [(2, 0, "alone")], "c int, i int, t string")
     assert [(r.c, r.t, r.n, r.word_count) for r in stats.joined_text(text, "c", "i", ["t"]).collect()] == [(1, "t0 t1 t2", 3, 3)]
+
+
+def test_ngrams_are_counted_where_the_rows_are(spark, monkeypatch):
+    """Against plain counts, for any slices; rows of one key count together, and no n-gram is a row."""
+    rng = random.Random(4)
+    said = lambda: None if rng.random() < 0.1 else " ".join(rng.choices(["да", "ні", "\U0001f600x", ",", "a1"], k=rng.randrange(9)))
+    rows = [(i // 3 if i < 12 else i, said(), said()) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, pred string, ref string").repartition(3)
+    tokens = {"c": (lambda t: [*"".join((t or "").split())]), "w": lambda t: re.findall(r"\w+|[^\w\s]", t or "")}
+    for at_once in (1, 60, evaluate.AT_ONCE):
+        monkeypatch.setattr(evaluate, "AT_ONCE", at_once)
+        for kind, columns in (("c", [F.regexp_replace(F.coalesce(C(c), F.lit("")), r"\s", "") for c in ("pred", "ref")]), ("w", [evaluate._marks(c) for c in ("pred", "ref")])):
+            got = evaluate._matches(df, *columns, 4)
+            assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+            want = {}
+            for n in range(1, 5):
+                grams = lambda t, n=n, kind=kind: [tuple(x[i : i + n]) for x in [tokens[kind](t)] for i in range(len(x) - n + 1)]
+                p, r = (Counter((row[0], g) for row in rows for g in grams(row[k])) for k in (1, 2))
+                want[n] = (sum((p & r).values()), sum(p.values()), sum(r.values()))
+            assert {x.n: (x.match, x.pred, x.ref) for x in got.collect()} == want
