@@ -16,6 +16,17 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of an Arrow batch of texts. A batch lies in the memory of its Python worker several times over: as it came, as Python's texts, and as what is made of them.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """At most ARROW_ROWS rows a batch from here on, in this session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows over all cores, a few tasks each: a small file is read by one task, however much is made of its rows then."""
     return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)

@@ -12,6 +12,7 @@ from ..functions import chunking
 from ..functions import text as T
 from ..sources.ingest import retried
 from . import joins
+from .tables import small_batches
 
 Translate = Callable[[list[str]], list[str]]
 
@@ -30,6 +31,7 @@ def translated(df: DataFrame, text: str, translate: Translate, name: str, attemp
                     out[i] = t
             yield pd.Series(out, dtype=object)
 
+    small_batches(df.sparkSession)
     return df.withColumn(name, run(F.col(text)))
 
 

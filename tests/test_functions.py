@@ -162,3 +162,17 @@ def test_letters_are_counted_in_every_character(spark):
     assert all(r.n == sum(x in T.UKRAINIAN for x in r.t.lower()) and r.w == r.e for r in counted.collect())
     used = plan(df.select(T.ukrainian_letters(C("t")), filters.clean_prose(C("t")), filters.usable_choice(C("t")), clean.uk_quality(C("t"))))
     assert "lower(" not in used and "[\\p{L}\\p{N}_], 0)" not in used
+
+
+def test_pieces_go_on_in_small_batches(spark, monkeypatch):
+    """A worker holds some texts, not ten thousand, and sends their pieces as they come."""
+    texts = ["\n\n".join("слово " * (i % 7) + "x" * (i % 30) for _ in range(i % 5)) for i in range(60)] + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    for batch in (chunking.BATCH, (3, 20)):
+        monkeypatch.setattr(chunking, "BATCH", batch)
+        got = {}
+        for r in chunking.to_pieces(docs, "id", "t", 12).collect():
+            got.setdefault(r.id, {}).setdefault(r.paragraph, {})[r.position] = r.piece
+        assert {i: [[p[k] for k in sorted(p)] if None not in p else [] for _, p in sorted(ps.items())] for i, ps in got.items()} == {i: chunking.paragraph_pieces(t, 12) for i, t in enumerate(texts)}
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
