@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -155,6 +156,20 @@ def resemblance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("double")), F.lit(0.0), lambda s, v: s + v) / F.size(a)
 
 
+def _spans(threshold: float, bands: int) -> list[tuple[int, int]]:
+    """First place and number of places of each band.
+
+    Two signatures that agree in `threshold` differ in so many places at most; with one
+    band more than that, some band is the same in both. Those bands find every such pair, as
+    narrower and more ones do, and far fewer others. Where `bands` are fewer, they stay as they are.
+    """
+    enough = PERMUTATIONS - math.ceil(PERMUTATIONS * (threshold - 1e-12)) + 1
+    if not 0 < enough < bands:
+        return [(i * (PERMUTATIONS // bands), PERMUTATIONS // bands) for i in range(bands)]
+    ends = [i * PERMUTATIONS // enough for i in range(enough + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:])]
+
+
 def _near(docs: DataFrame, key: str, text: str, threshold: float, bands: int, forest: bool) -> tuple[DataFrame, DataFrame]:
     """key and sig of all texts; x, y, similarity of different signatures. Every two signatures of one bucket are compared, or hang together by others that were.
 
@@ -164,10 +179,9 @@ def _near(docs: DataFrame, key: str, text: str, threshold: float, bands: int, fo
     """
     signed = saved(signatures(docs, key, text).withColumn("sig", F.xxhash64("signature")), "signatures")
     distinct = saved(signed.groupBy("sig").agg(F.first("signature").alias("signature")), "distinct")
-    rows = PERMUTATIONS // bands
-    band = F.explode(F.array(*(F.xxhash64(F.lit(i), F.slice("signature", i * rows + 1, rows)) for i in range(bands)))).alias("bucket")
+    band = F.explode(F.array(*(F.xxhash64(F.lit(i), F.slice("signature", at + 1, n)) for i, (at, n) in enumerate(_spans(threshold, bands))))).alias("bucket")
     placed = saved(distinct.select("sig", band), "buckets")
-    sized = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.col("sig").cast("decimal(38)")).alias("members"), F.bit_xor("sig").alias("mark")).where("n > 1")
+    sized = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.shiftright("sig", 32)).alias("members"), F.bit_xor("sig").alias("mark")).where("n > 1")
     kept = sized.groupBy("members", "mark", "n").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / SLOT).cast("int").alias("cuts"))
     slot = F.pmod(F.xxhash64("sig"), F.col("cuts")).cast("int")
     sent = placed.join(kept, "bucket").withColumn("slot", slot).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))

@@ -350,3 +350,21 @@ def test_ngrams_are_counted_where_the_rows_are(spark, monkeypatch):
                 p, r = (Counter((row[0], g) for row in rows for g in grams(row[k])) for k in (1, 2))
                 want[n] = (sum((p & r).values()), sum(p.values()), sum(r.values()))
             assert {x.n: (x.match, x.pred, x.ref) for x in got.collect()} == want
+
+
+def test_bands_are_no_more_than_lose_nothing():
+    """Pairs that just reach the threshold agree in a band wherever they differ; unlike ones rarely do."""
+    rng = np.random.default_rng(9)
+    for threshold in (0.8, 0.85, 0.9, 1.0):
+        spans = dedup._spans(threshold, dedup.BANDS)
+        assert [a for a, _ in spans] == [sum(n for _, n in spans[:i]) for i in range(len(spans))] and sum(n for _, n in spans) == dedup.PERMUTATIONS
+        most = sum(k / dedup.PERMUTATIONS >= threshold - 1e-12 for k in range(dedup.PERMUTATIONS))
+        hardest = np.linspace(0, dedup.PERMUTATIONS - 1, most).astype(int) if most else []
+        for places in [hardest, *(rng.choice(dedup.PERMUTATIONS, most, replace=False) for _ in range(200))]:
+            same = np.ones(dedup.PERMUTATIONS, bool)
+            same[places] = False
+            assert any(same[a : a + n].all() for a, n in spans)
+    assert len(dedup._spans(0.85, 32)) == 20 and dedup._spans(0.5, 32) == [(4 * i, 4) for i in range(32)]
+    unlike = rng.random((3000, dedup.PERMUTATIONS)) < 0.5
+    met = lambda spans: np.mean([any(x[a : a + n].all() for a, n in spans) for x in unlike])
+    assert met(dedup._spans(0.85, 32)) < met(dedup._spans(0.5, 32)) / 3
