@@ -36,7 +36,9 @@ def priority_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dup_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.near_keep(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.length("text").alias("n_chars"))
+    """Lengths are taken before documents are joined with what goes, so texts aren't shuffled for it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").alias("n_chars"))
+    return dedup.near_keep(docs, "doc_id", "text").select("doc_id", "n_chars")
 
 
 def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,13 @@ def test_cases_are_worked_on_by_all_cores(spark):
     assert queries.QUERIES["edge_chunks"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_texts_stay_out_of_the_join_of_near_duplicates(spark):
+    """Their lengths are taken below it."""
+    lines = queries.QUERIES["near_dup_keep"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = lambda what: next(i for i, x in enumerate(lines) if what in x)
+    assert at("LeftAnti") < at("length(text")
+
+
 def test_paragraphs_hold_every_line(spark, duck):
     """Windows against a walk over all lines of each source, with the sizes that the query's windows show."""
     docs = duck.execute("select source, text from documents where text is not null order by source, doc_id").fetchall()
